@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.llm.store import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, slots in an output shard on average, documents in a bucket, slots made by one row.
 BLOCK, SHARD_SLOTS, BUCKET_DOCS, SLOT_CHUNK = 64, 4096, 1000, 4096
@@ -102,7 +104,8 @@ def slots(goals: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     n_slots = F.least(F.round(F.col("target") * n_blocks / F.col("source_size")).cast("long"), n_blocks * MOST)
     per = goals.where("source_size > 0").select("source", n_blocks.alias("n_blocks"), n_slots.alias("n_slots"))
     per = per.withColumn("all_slots", F.sum("n_slots").over(W.partitionBy())).where("n_slots > 0")
-    chunks = per.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOT_CHUNK)))).repartition("source", "chunk")
+    chunks = per.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOT_CHUNK))))
+    chunks = chunks.repartition(int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "chunk")
     top = F.least(F.col("n_slots"), (F.col("chunk") + 1) * SLOT_CHUNK) - 1
     each = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, top)))
     shards = F.ceil(F.col("all_slots") / SHARD_SLOTS)
@@ -120,9 +123,13 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     A piece that several slots draw comes once for each. Documents without words have no
     pieces; a null source is a source of its own. The same input and seed give the same mix.
     """
-    sized = sizes(docs)
+    return _mix(stored(sizes(docs), "sizes"), block, seed)
+
+
+def _mix(sized: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     goals = targets(sized)
-    drawn = slots(goals, block, seed).withColumnsRenamed({"source": "s", "block": "b"})
+    # Slots are few bytes before they are expanded and many after: never to be broadcast.
+    drawn = slots(goals, block, seed).withColumnsRenamed({"source": "s", "block": "b"}).hint("merge")
     pieces = blocks(sized, goals, block)
     met = pieces.join(drawn, _same(pieces["source"], F.col("s")) & (pieces["block"] == F.col("b")))
     return met.select("shard", "source", "slot", "block", "doc_id", "words")
@@ -133,9 +140,9 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id within a source share its words in proportion to their size.
     """
-    sized = sizes(docs)
+    sized = stored(sizes(docs), "sizes")
     goals = targets(sized).withColumnRenamed("source", "s")
-    taken = mix(docs).groupBy(F.col("doc_id").alias("d"), F.col("source").alias("t")).agg(F.sum("words").alias("words"))
+    taken = _mix(sized).groupBy(F.col("doc_id").alias("d"), F.col("source").alias("t")).agg(F.sum("words").alias("words"))
     own = sized.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("t")).agg(F.sum("size").alias("own"))
     taken = own.join(taken.withColumnsRenamed({"d": "d2", "t": "t2"}), _same(F.col("d"), F.col("d2")) & _same(F.col("t"), F.col("t2")), "left").select("d", "t", "own", "words")
     out = sized.join(goals, _same(F.col("source"), F.col("s"))).join(taken, _same(F.col("doc_id"), F.col("d")) & _same(F.col("source"), F.col("t")))

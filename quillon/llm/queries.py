@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, html, langid, mixing, pii, search, secrets, toxicity
+from quillon.llm import decontaminate, html, jaccard, langid, mixing, pii, search, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.langid_digest(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_search": op2_search,
+    "op3_jaccard": op3_jaccard,
     "op4_langid": op4_langid,
     "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
