@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, html, jaccard, langid, mixing, pii, search, secrets, toxicity
+from quillon.llm import decontaminate, html, jaccard, langid, mixing, pii, search, secrets, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substrings_digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_digest(_table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_search": op2_search,
     "op3_jaccard": op3_jaccard,
     "op4_langid": op4_langid,

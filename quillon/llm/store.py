@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,4 +22,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: computed once, lineage cut."""
     path = f"{shared_folder(df.sparkSession)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
