@@ -20,10 +20,14 @@ BLOCK, SHARD_SLOTS, BUCKET_DOCS, SLOT_CHUNK = 64, 4096, 1000, 4096
 WEIGHTS, MOST, ROUNDS = (5.0, 2.0, 1.0), 3, 16
 
 
+def word_count() -> Column:
+    """Words of the column ``text``; a null text has none."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of every document; a null text has none."""
-    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", count.alias("size"))
+    """doc_id, source and size in words of every document."""
+    return docs.select("doc_id", "source", word_count().alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -135,16 +139,23 @@ def _mix(sized: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     return met.select("shard", "source", "slot", "block", "doc_id", "words")
 
 
-def mix_digest(docs: DataFrame) -> DataFrame:
-    """One row per document row: size, source_size, target and the words the mix takes.
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` with size, source_size, target and taken, the words the mix takes of each row.
 
     Rows that repeat a doc_id within a source share its words in proportion to their size.
+    Columns of these names are replaced, others pass through.
     """
     sized = stored(sizes(docs), "sizes")
-    goals = targets(sized).withColumnRenamed("source", "s")
-    taken = _mix(sized).groupBy(F.col("doc_id").alias("d"), F.col("source").alias("t")).agg(F.sum("words").alias("words"))
-    own = sized.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("t")).agg(F.sum("size").alias("own"))
-    taken = own.join(taken.withColumnsRenamed({"d": "d2", "t": "t2"}), _same(F.col("d"), F.col("d2")) & _same(F.col("t"), F.col("t2")), "left").select("d", "t", "own", "words")
-    out = sized.join(goals, _same(F.col("source"), F.col("s"))).join(taken, _same(F.col("doc_id"), F.col("d")) & _same(F.col("source"), F.col("t")))
-    share = F.when(F.col("own") > 0, F.floor(F.coalesce("words", F.lit(0)) * F.col("size") / F.col("own"))).otherwise(0).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", share.alias("taken"))
+    goals = targets(sized).select(F.col("source").alias("_s"), "source_size", "target")
+    own = sized.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_t")).agg(F.sum("size").alias("_own"))
+    drawn = _mix(sized).groupBy(F.col("doc_id").alias("_d2"), F.col("source").alias("_t2")).agg(F.sum("words").alias("_words"))
+    taken = own.join(drawn, _same(F.col("_d"), F.col("_d2")) & _same(F.col("_t"), F.col("_t2")), "left").select("_d", "_t", "_own", "_words")
+    rows = docs.drop("size", "source_size", "target", "taken").withColumn("size", word_count())
+    rows = rows.join(goals, _same(F.col("source"), F.col("_s"))).join(taken, _same(F.col("doc_id"), F.col("_d")) & _same(F.col("source"), F.col("_t")))
+    share = F.when(F.col("_own") > 0, F.floor(F.coalesce("_words", F.lit(0)) * F.col("size") / F.col("_own"))).otherwise(0).cast("long")
+    return rows.withColumn("taken", share).drop("_s", "_d", "_t", "_own", "_words")
+
+
+def mix_digest(docs: DataFrame) -> DataFrame:
+    """One row per document row: size, source_size, target and the words the mix takes."""
+    return mixed(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
