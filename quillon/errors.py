@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 
@@ -76,9 +77,10 @@ _CONDITIONS = {
 _RAISED = re.compile(r"(TYPE|OVERFLOW|CSV):(?:(\d+):)?([^\n]*)")
 
 
-def translated(error: PySparkException) -> EngineError | None:
+def translated(error: PySparkException | Py4JJavaError) -> EngineError | None:
     """The engine's error for one of Spark's, or None if it has no counterpart."""
-    text, condition = str(error), (error.getCondition() or "").split(".")[0]
+    text = str(error)
+    condition = (error.getCondition() or "").split(".")[0] if isinstance(error, PySparkException) else ""
     if found := _RAISED.search(text):
         kind, line, message = found[1], found[2], found[3].strip().rstrip("'\"")
         message = message.split(" SQLSTATE")[0]
@@ -87,8 +89,6 @@ def translated(error: PySparkException) -> EngineError | None:
         if name in _CONDITIONS:
             kind = _CONDITIONS[name]
             return kind(text.splitlines()[0]) if kind else CsvError(0, "a record has another number of fields than the header")
-    if condition.startswith("FAILED_READ_FILE"):
-        return CsvError(0, "a record has another number of fields than the header")
     return None
 
 
@@ -97,7 +97,7 @@ def translating() -> Iterator[None]:
     """Raise the engine's errors in place of Spark's."""
     try:
         yield
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         if (ours := translated(error)) is None:
             raise
         raise ours from error

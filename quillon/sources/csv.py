@@ -142,7 +142,7 @@ def _strict(spark: SparkSession, path: str, options: CsvOptions) -> Frame:
         for batch in batches:
             for content in batch["content"]:
                 rows = list(records_of(bytes(content).decode("utf-8"), delimiter))[header:]
-                yield pd.DataFrame({"record": range(1 + header, 1 + header + len(rows)), "cells": rows})
+                yield pd.DataFrame({"record": range(1 + header, 1 + header + len(rows)), "cells": pd.Series(rows, dtype=object)})
 
     made = files.mapInPandas(split, "record long, cells array<string>")
     wrong = F.when(F.size("cells") != n, casts.fail("CSV", F.concat(F.col("record").cast("string"), F.lit(f":expected {n} fields, found "), F.size("cells").cast("string"))))
