@@ -24,7 +24,7 @@ STOP_WORDS = frozenset(
     el los las y del que por con para una se al lo como su es no""".split()
 )
 #: Blocks of fewer characters are short; of at least as many, long. Densities that decide.
-SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.33, 0.2, 0.3
+SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 120, 0.33, 0.2, 0.3
 #: Elements whose text is dropped with them.
 DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video select option button textarea input form dialog menu".split())
 #: Elements that mark boilerplate, and those that mark the article.
@@ -38,7 +38,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class learned from, on average and at most; terms in the lexicon at most.
 SAMPLE, SAMPLE_BOUND, TERMS = 4000, 10_000, 400
-#: A term stands in this many toxic rows at least, in this share of them, and is this much more frequent there.
-SUPPORT, SHARE, LIFT = 4, 0.01, 12.0
+#: A term stands in this many toxic rows at least, in this share of them, and is this much more frequent there (stems more so).
+SUPPORT, SHARE, LIFT, STEM_LIFT = 4, 0.01, 12.0, 50.0
 #: Shortest stem, and shortest word for which one error is allowed.
-STEM, FUZZY = 4, 6
+STEM, FUZZY = 3, 6
 #: Words before and after a hit that are its context.
 REACH = 6
 #: Words remembered by a task.
@@ -145,7 +145,7 @@ def lexicon(rows: DataFrame, n: dict[int, int], terms: int = TERMS) -> tuple[lis
     counted = union.groupBy("w", "stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     lift = (F.col("bad") / n[1]) / ((F.col("good") + 0.5) / n[0])
     least = max(SUPPORT, SHARE * n[1])
-    top = counted.where((F.col("bad") >= least) & (lift >= LIFT)).orderBy(F.desc("bad"), "w", "stem").limit(4 * terms).collect()
+    top = counted.where((F.col("bad") >= least) & (lift >= F.when(F.col("stem"), STEM_LIFT).otherwise(LIFT))).orderBy(F.desc("bad"), "w", "stem").limit(4 * terms).collect()
     kept_words = [r.w for r in top if not r.stem][:terms]
     kept_stems: list[str] = []
     for r in sorted((r for r in top if r.stem), key=lambda r: len(r.w)):
