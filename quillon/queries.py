@@ -59,7 +59,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "sort_desc": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 50", None),
     "sort_multi": ("SELECT o_orderkey FROM orders ORDER BY o_orderpriority, o_orderstatus DESC, o_orderkey LIMIT 50", None),
     "sort_expr": ("SELECT o_orderkey FROM orders ORDER BY o_custkey % 10 DESC, o_orderkey LIMIT 50", None),
-    "sort_stable": ("SELECT c_custkey FROM customer ORDER BY c_mktsegment LIMIT 40", "SELECT c_custkey FROM (SELECT *, file_row_number AS r FROM {customer}) ORDER BY c_mktsegment, r LIMIT 40"),
+    "sort_stable": ("SELECT c_custkey FROM customer ORDER BY c_mktsegment LIMIT 40", "SELECT c_custkey FROM (SELECT c_custkey, c_mktsegment, row_number() OVER () AS r FROM customer) ORDER BY c_mktsegment, r LIMIT 40"),
     "sort_nulls_first": (f"SELECT l_orderkey, flag FROM flags ORDER BY flag, {_ITEM_KEY} LIMIT 60", f"SELECT l_orderkey, NULLIF(l_returnflag, 'R') AS flag FROM lineitem ORDER BY NULLIF(l_returnflag, 'R') NULLS FIRST, {_ITEM_KEY} LIMIT 60"),
     "sort_nulls_last": (f"SELECT l_orderkey, flag FROM flags ORDER BY flag DESC, {_ITEM_KEY} LIMIT 60", f"SELECT l_orderkey, NULLIF(l_returnflag, 'R') AS flag FROM lineitem ORDER BY NULLIF(l_returnflag, 'R') DESC NULLS LAST, {_ITEM_KEY} LIMIT 60"),
     "order_by_input_not_alias": ("SELECT -o_totalprice AS o_totalprice, o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20", "SELECT -p AS o_totalprice, o_orderkey FROM (SELECT o_totalprice AS p, o_orderkey FROM orders ORDER BY p, o_orderkey LIMIT 20)"),
@@ -71,8 +71,6 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "nan_compare": ("SELECT event_id, x = x AS eq, x <> x AS ne, x > 1.0 AS gt, x <= 1.0 AS le FROM nans WHERE x >= 0.5 OR x <> x", "SELECT event_id, value >= 50 AS eq, value < 50 AS ne, value >= 50 AS gt, FALSE AS le FROM events"),
     "nan_sort": ("SELECT event_id FROM nans ORDER BY x DESC, event_id LIMIT 20", "SELECT event_id FROM events ORDER BY (CASE WHEN value < 50 THEN 'NaN'::DOUBLE ELSE value END) DESC, event_id LIMIT 20"),
 }
-#: These have no plain oracle: DuckDB gives no row numbers of a registered view.
-NO_ORACLE = frozenset(["sort_stable"])
 _CSV = "id,name,active,score\n1,\"Doe, Jane\",true,1.5\n2,\"a \"\"b\"\"\",,2\n3,,FALSE,-inf\n"
 
 
@@ -116,4 +114,4 @@ def _runner(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _runner(t) for n, (t, _) in TEXTS.items()} | {n: f for n, (f, _) in _EXTRA.items()}
-ORACLE_SQL: dict[str, str] = {n: o or t for n, (t, o) in TEXTS.items() if n not in NO_ORACLE} | {n: o for n, (_, o) in _EXTRA.items()}
+ORACLE_SQL: dict[str, str] = {n: o or t for n, (t, o) in TEXTS.items()} | {n: o for n, (_, o) in _EXTRA.items()}
