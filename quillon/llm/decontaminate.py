@@ -19,6 +19,8 @@ from quillon.llm.words import WordHashes, runs
 
 #: Template tokens in a window (an item with fewer is one window), and the share of an item's windows that a leak holds.
 WINDOW, SHARE = 8, 0.6
+#: Items of fewer tokens say nothing about where they come from and match nothing.
+LEAST = 4
 #: Words of a filter over the items' window hashes, 64 bits each: a fixed 1 MB, whatever the items.
 FILTER_WORDS = 1 << 17
 #: Units of measure, fixed values.
@@ -57,8 +59,9 @@ def template(text: str | None) -> tuple[list[str], list[str]]:
     return tokens, values
 
 
-def _windows(column: str, length: int, bits: np.ndarray | None = None):
-    """Windows (id, h, at, n, w, slots, words) of each text; with ``bits`` only those it admits."""
+def _windows(column: str, length: int, known: tuple[np.ndarray, list[int]] | None = None):
+    """Windows (id, h, at, n, w, slots, tokens) of each text; with ``known``, the filter and the
+    lengths of the items' windows, only those that it admits."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -66,24 +69,20 @@ def _windows(column: str, length: int, bits: np.ndarray | None = None):
             rows = []
             for id_, text in zip(batch[column], batch["text"], strict=True):
                 tokens, values = template(text)
-                if not tokens:
+                if len(tokens) < LEAST:
                     continue
                 h = hashes.of(tokens)
                 # A short item is one window of its own length, so documents try those lengths too.
-                for w in [min(length, len(h))] if bits is None else lengths_of(bits):
+                for w in [min(length, len(h))] if known is None else known[1]:
                     got = runs(h, w)
-                    at = np.arange(len(got)) if bits is None else np.flatnonzero(admitted(bits[0], got))
-                    slots = lambda i, w=w: [v for v in values[i : i + w] if v]  # noqa: E731, B023
-                    rows += [(id_, int(got[i].view(np.int64)), int(i), len(got), w, slots(int(i)), [int(x.view(np.int64)) for x in h[i : i + w]]) for i in at]
+                    at = range(len(got)) if known is None else np.flatnonzero(admitted(known[0], got)).tolist()
+                    signed, tokens_at = got.view(np.int64), h.view(np.int64)
+                    rows += [(id_, int(signed[i]), i, len(got), w, [v for v in values[i : i + w] if v], tokens_at[i : i + w].tolist()) for i in at]
             yield pd.DataFrame(rows, columns=["id", "h", "at", "n", "w", "slots", "tokens"])
 
     return make
 
 
-def lengths_of(bits: tuple) -> list[int]:
-    return bits[1]
-
-
 def admitted(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes the filter may hold: a clear bit means that no item has the window."""
     return words[(h >> np.uint64(6)) % np.uint64(len(words))] >> (h & np.uint64(63)) & np.uint64(1) == 1
@@ -103,7 +102,7 @@ def _filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
     slot = F.pmod(F.shiftrightunsigned("h", 6), F.lit(FILTER_WORDS)).cast("int").alias("slot")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("bit")
     words = np.zeros(FILTER_WORDS, np.uint64)
-    for r in windows.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+    for r in windows.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).collect():
         words[r.slot] = np.int64(r.bits).view(np.uint64)
     return words, sorted(r.w for r in windows.select("w").distinct().collect())
 
@@ -113,14 +112,13 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = WINDOW, share: float
 
     A document contains an item if, at one displacement, it holds at least ``share`` of the
     item's windows and the slot values of those map one to one. ``exact`` says that the
-    values are the same. Null ids and null or wordless texts on either side yield nothing;
+    values are the same. Null ids and null texts, or texts of fewer than LEAST tokens, on either side yield nothing;
     rows that repeat a document yield its pairs once. Window hashes are confirmed token by
     token.
     """
     known = item_windows(items, length).withColumnsRenamed({"slots": "item_slots", "at": "item_at", "n": "item_n", "tokens": "item_tokens"})
-    bits = _filter(known)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInPandas(_windows("doc_id", length, bits), _WINDOW_SCHEMA).withColumnRenamed("id", "doc_id").drop("n")
+    found = rows.mapInPandas(_windows("doc_id", length, _filter(known)), _WINDOW_SCHEMA).withColumnRenamed("id", "doc_id").drop("n")
     met = found.join(known, ["h", "w"]).where("tokens = item_tokens")
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     met = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_n", pairs.alias("pairs"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     tidy(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out, lambda _, key=id(out): _PATHS.pop(key, None)), path)
+    return out
+
+
+#: Where the tables that are still held were written.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing will read again."""
+    _, path = _PATHS.pop(id(df), (None, None))
+    if path:
+        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def tidy(spark: SparkSession) -> None:

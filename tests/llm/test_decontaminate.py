@@ -18,8 +18,7 @@ def test_leaks(spark):
     items = [(0, ITEM), (1, "What is the boiling point of tin?"), (2, "ok"), (3, None), (4, "")]
     docs = [(1, FILL + ITEM + FILL, 0), (2, FILL + OTHER + FILL, 0), (3, FILL + BROKEN + FILL, 0), (4, FILL * 9, 0), (5, ITEM.upper(), 0), (6, None, 0), (7, "", 0), (8, "So: what is the boiling point of tin? Tell.", 0), (None, ITEM, 0), (1, FILL + ITEM + FILL, 0)]
     got = found(spark, docs, items)
-    assert {k: v for k, v in got.items() if k[1] != 2} == {(1, 0): True, (2, 0): False, (8, 1): True}
-    assert not any(k[0] in (3, 4, 6, 7) for k in got)
+    assert got == {(1, 0): True, (2, 0): False, (8, 1): True}
 
 
 def test_parts_and_many_copies(spark):
