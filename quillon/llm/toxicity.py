@@ -126,12 +126,15 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(toxic, text): about ``sample`` labelled rows of each class, chosen by the hash of their ids."""
+    """(toxic, text): about ``sample`` labelled rows of each class, chosen by the hash of their ids.
+
+    The chosen ids are few by their bound and are broadcast, so that no text is shuffled.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~_held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "toxic").distinct()
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, sample / max(1, counts.get(1, 0))).otherwise(sample / max(1, counts.get(0, 0)))
     drawn = known.where(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(1 << 30)) / float(1 << 30) < share)
-    return docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("_id")).select("toxic", "text").limit(2 * SAMPLE_BOUND)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn.limit(2 * SAMPLE_BOUND)), F.col("doc_id") == F.col("_id")).select("toxic", "text").limit(2 * SAMPLE_BOUND)
 
 
 def lexicon(rows: DataFrame, n: dict[int, int], terms: int = TERMS) -> tuple[list[str], list[str]]:
