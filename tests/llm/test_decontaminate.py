@@ -35,3 +35,22 @@ def test_empty_tables(spark):
 def test_templates():
     assert d.template("He met Anna Berg at 5 km. Then 3.5% of 1,000 kg!")[0] == "he met <name> <name> at <num> <unit> then <num> <unit> of <num> <unit>".split()
     assert d.template(None) == ([], [])
+
+
+LONG = "Every morning the baker of the village carries 40 loaves from the old mill to the market and sells them for 3 dollars each before noon comes around."
+
+
+def test_edits_and_parts(spark):
+    words = LONG.split()
+    inserted, changed, lost = words[:13] + ["really"] + words[13:], words[:13] + ["ancient"] + words[14:], words[:13] + words[14:]
+    short = "the cat of my aunt never sleeps on the warm red sofa at night".split()
+    docs = [(1, FILL + " ".join(inserted), 0), (2, FILL + " ".join(changed), 0), (3, FILL + " ".join(lost), 0), (4, FILL + " ".join(words[6:]), 0)]
+    docs += [(5, FILL + " ".join(short[:7] + ["lies"] + short[8:]) + " " + FILL, 0), (6, FILL + " ".join(short[:6]), 0)]
+    got = found(spark, docs, [(0, LONG), (1, " ".join(short))])
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 1)}
+
+
+def test_long_part_of_a_long_item(spark):
+    item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59))
+    docs = [(1, FILL + " ".join(item.split()[:25]), 0), (2, FILL + " ".join(item.split()[:12]), 0)]
+    assert set(found(spark, docs, [(0, item)])) == {(1, 0)}
