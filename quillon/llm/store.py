@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Makes Spark delete a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset, as in tests, one of our own."""
+    """The folder of ``spark.checkpoint.dir``; a local session without one, as in tests, gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: computed once, lineage cut."""
-    path = f"{shared_folder(df.sparkSession)}/quillon-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    tidy(df.sparkSession)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    with _shuffles_cleaned(spark):
+        # A plan made under the setting: its shuffle files go when the table stands.
+        df.select("*").write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out, lambda _, key=id(out): _PATHS.pop(key, None)), path)
     return out
 
@@ -33,16 +51,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 _PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a stored table that nothing will read again."""
-    _, path = _PATHS.pop(id(df), (None, None))
-    if path:
-        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing will read again."""
+    for df in tables:
+        _, path = _PATHS.pop(id(df), (None, None))
+        if path:
+            spark = df.sparkSession
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
