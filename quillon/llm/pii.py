@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.spans import SPAN, find_spans, joined
+from quillon.llm.spans import BEFORE, cut, find_spans, joined, once, pieces_of, running
 
 
 @dataclass(frozen=True)
@@ -27,17 +27,17 @@ class Kind:
 
 # Possessive quantifiers and look-behinds keep each pattern linear in the text: a run that
 # cannot start a match is not tried again from its inner positions. \G admits the rest of a
-# run whose head a previous match has taken.
+# run whose head a previous match has taken. Runs too short for a card are no candidates.
 KINDS = (
     Kind("email", "@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"\b(e-?mail|mail|contact|correo|courriel)\b"),
     Kind("ip", r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\b(ip|host|server|address|client)\b"),
-    Kind("card", r"[0-9][ -]?[0-9]", r"[0-9](?:[ -]?[0-9])++", 0.7, r"\b(card|visa|credit|karte|tarjeta|carte)\b"),
+    Kind("card", r"[0-9](?:[ -]?[0-9]){11}", r"[0-9](?:[ -]?[0-9]){11,}+", 0.7, r"\b(card|visa|credit|karte|tarjeta|carte)\b"),
     Kind("phone", r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, r"\b(phone|tel|call|mobile|fax)\b"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.8, r"\b(iban|account|konto|cuenta|compte)\b", base=False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
-#: Characters before a span that are searched for context words; what such a word adds.
-CONTEXT_CHARS, CONTEXT_GAIN = 40, 0.3
+#: What a context word in the BEFORE characters before a span adds.
+CONTEXT_GAIN = 0.3
 #: Spans of kinds outside BASE are kept from this score on.
 KEEP = 0.75
 
@@ -88,7 +88,8 @@ def pii_spans(text: Column) -> Column:
 
     A null text counts as empty. Matches that fail their validator are dropped and not
     retried. The score starts at the kind's prior and gains where a context word of the
-    kind stands before the span; base kinds are kept whatever their score.
+    kind stands in the characters before the span, as far back as the kind's candidate
+    before it; base kinds are kept whatever their score.
     """
     text = F.coalesce(text, F.lit(""))
     found = [_of_kind(text, rank, kind) for rank, kind in enumerate(KINDS)]
@@ -99,8 +100,7 @@ def _of_kind(text: Column, rank: int, kind: Kind) -> Column:
     test = F.contains(text, F.lit(kind.test)) if kind.test == "@" else text.rlike(kind.test)
 
     def scored(x: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT_CHARS))))
-        gain = F.when(before.rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
+        gain = F.when(F.lower(x["b"]).rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
         score = F.least(F.lit(1.0), F.lit(kind.prior) + gain)
         return F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), x["e"].alias("end"), score.alias("score"))
 
@@ -126,17 +126,23 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFram
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every personal span replaced by its kind in angle brackets.
 
-    Overlapping spans merge into the one that starts first. Null texts stay null.
+    Spans that overlap are one, from the start of the first to the furthest end, and take
+    the kind of the first. Null texts stay null, no rows give no rows, and repeated rows
+    are each treated alone.
     """
-    spans = pii_spans(docs[text])
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    said = docs[text]
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(docs[text], acc["pos"] + 1, x["start"] - acc["pos"])
-        return F.when(x["start"] < acc["pos"], acc).otherwise(F.struct(x["end"].alias("pos"), F.concat(acc["out"], gap, F.lit("<"), x["kind"], F.lit(">")).alias("out")))
+    def clean(spans: Column) -> Column:
+        taken = running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
 
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(docs[text], acc["pos"] + 1, F.length(docs[text]))))
-    return docs.withColumn(text, clean)
+        def assembled(pieces: Column) -> Column:
+            part = lambda x, to: F.when(x["start"] >= to, F.concat(cut(said, pieces, to, x["start"] - to), F.lit("<"), x["kind"], F.lit(">"))).otherwise(F.lit(""))
+            last = F.array_max(F.transform(spans, lambda x: x["end"]))
+            return F.concat(F.array_join(F.zip_with(spans, taken, part), ""), F.substring(said, last + 1, F.length(said)))
+
+        return F.when(F.size(spans) > 0, once(pieces_of(said), assembled)).otherwise(said)
+
+    return docs.withColumn(text, F.when(said.isNotNull(), once(pii_spans(said), clean)))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -149,4 +155,4 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), top)
 
 
-__all__ = ["BASE", "KINDS", "SPAN", "find_pii", "pii_digest", "pii_spans", "redact"]
+__all__ = ["BASE", "BEFORE", "KINDS", "find_pii", "pii_digest", "pii_spans", "redact"]

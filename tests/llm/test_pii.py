@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -84,3 +85,19 @@ def test_luhn(spark, digits, ok):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(pii.luhn(F.lit(digits)).alias("x")).first().x is ok
+
+
+def test_overlapping_spans_leave_nothing(spark):
+    rows = spark.createDataFrame([(0, "pay@shop.4111 1111 1111 1111 now"), (1, "x 4111 1111 1111 1111, a@b.cd" + " fill" * 2000 + " 10.0.0.1")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(rows).collect()}
+    assert got[0] == "<email> now"
+    assert got[1] == "x <card>, <email>" + " fill" * 2000 + " <ip>"
+
+
+def test_very_many_candidates_take_little_time(spark):
+    texts = ["12," * 340_000, "123456789012," * 20_000, "1.2.3.4 " * 20_000, "+1 " * 100_000]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 60
+    assert got[0].spans == "" and got[2].n_ip == 20_000
+    assert got[2].spans.endswith("ip:159992:159999")
