@@ -1,9 +1,11 @@
 """Secret scans over a trigram inverted index.
 
 Each rule's pattern yields a Boolean query over trigrams that every match must contain.
-Postings of just those trigrams are intersected into candidate documents, which are then
-verified with the pattern itself; rules without mandatory trigrams scan every document.
-Native throughout.
+One pass over the texts writes the posting lists of those trigrams; the lists are
+intersected as each rule's query asks, and only the documents that remain are read again
+and verified with the pattern itself. Rules without mandatory trigrams scan every document.
+Native throughout; what is shuffled are postings, keys and spans, and texts only of
+candidates, where there are too many to name them in a broadcast.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.spans import SPAN, find_spans, joined
+from quillon.llm.names import fresh
+from quillon.llm.spans import find_spans, joined
+from quillon.llm.store import discard, stored
 
 
 @dataclass(frozen=True)
@@ -41,11 +45,13 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", base=False),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", base=False),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", base=False),
 )
 BASE = tuple(r.name for r in RULES if r.base)
 #: Strings that a part of a pattern may stand for before its trigrams are taken.
 MOST_STRINGS = 64
+#: Candidates up to which their keys are broadcast (some 60 bytes each); beyond, texts are shuffled to them.
+FEW_CANDIDATES = 1 << 17
 
 #: All of the clauses hold; a clause holds if all trigrams of one of its sets are there.
 Query = tuple[frozenset[frozenset[str]], ...]
@@ -117,42 +123,39 @@ def trigrams(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted({t for r in rules for clause in trigram_query(r.pattern) for all_ in clause for t in all_})
 
 
-def trigram_index(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """Postings (trigram, doc_id): which documents hold which of the wanted trigrams."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted]))
-    return docs.where("text is not null").select("doc_id", F.explode(held).alias("trigram"))
-
+#: What names a document: its id (and whether it has one) and the hash of its text.
+KEY = ("id", "no_id", "text_hash")
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, rules): documents whose postings satisfy the queries of these rules.
 
-    A document has at most as many postings as there are wanted trigrams, and they are
-    combined before they are shuffled.
-    """
-    held = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows that have a text, with their KEY: rows equal in id and text share one."""
+    id_ = F.col("doc_id").cast("string")
+    return docs.where("text is not null").select(F.coalesce(id_, F.lit("")).alias("id"), id_.isNull().alias("no_id"), F.xxhash64("text").alias("text_hash"), "text")
 
-    def holds(query: Query) -> Column:
-        has = lambda t: F.array_contains("held", t)
-        every = lambda all_: _all([has(t) for t in sorted(all_)])
-        return _all([_any([every(s) for s in sorted(clause, key=sorted)]) for clause in query])
-
-    named = [F.when(holds(q), F.lit(r.name)) for r in rules if (q := trigram_query(r.pattern))]
-    return held.select("doc_id", F.array_compact(F.array(*named)).alias("rules")).where(F.size("rules") > 0)
 
+def trigram_index(docs: DataFrame, wanted: list[str]) -> DataFrame:
+    """Posting lists (trigram, id, no_id, text_hash): the documents (doc_id, text) that hold each of the wanted trigrams."""
+    low = _keyed(docs).withColumn("text", F.lower("text"))
+    held = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(t)) for t in wanted]))
+    return low.select(*KEY, F.explode(held).alias("trigram"))
 
-def _all(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out & c
-    return out
 
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(id, no_id, text_hash, rules): the documents in the intersections of posting lists that the rules' queries ask for.
 
-def _any(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out | c
-    return out
+    A document is in the intersection of a set of trigrams if it stands in as many of their
+    lists as there are; a clause holds for the union of its sets' intersections and a rule
+    for the intersection of its clauses. The counts are combined before they are shuffled.
+    """
+    asked = [(r.name, c, n, len(all_), t) for r in rules for c, clause in enumerate(trigram_query(r.pattern)) for n, all_ in enumerate(sorted(clause, key=sorted)) for t in sorted(all_)]
+    clauses = [(r.name, len(q)) for r in rules if (q := trigram_query(r.pattern))]
+    spark = index.sparkSession
+    # Both tables follow from the rules alone.
+    lists = F.broadcast(spark.createDataFrame(asked, "rule string, clause int, choice int, need int, trigram string"))
+    whole = F.broadcast(spark.createDataFrame(clauses, "rule string, clauses int"))
+    met = index.join(lists, "trigram").groupBy(*KEY, "rule", "clause", "choice", "need").agg(F.size(F.collect_set("trigram")).alias("held"))
+    holding = met.where("held = need").groupBy(*KEY, "rule").agg(F.count_distinct("clause").alias("clauses"))
+    return holding.join(whole, ["rule", "clauses"]).groupBy(*KEY).agg(F.collect_set("rule").alias("rules"))
 
 
 def _verified(text: Column, rank: int, rule: Rule, test: Column) -> Column:
@@ -171,24 +174,37 @@ def _verified(text: Column, rank: int, rule: Rule, test: Column) -> Column:
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
+def indexed_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(id, no_id, text_hash, spans) of the documents (doc_id, text) with matches of rules that have trigrams, through the index."""
+    index = stored(trigram_index(docs, trigrams(rules)), "postings")
+    found = stored(candidates(index, rules), "candidates")
+    discard(index)
+    named = F.broadcast(found) if found.count() <= FEW_CANDIDATES else found
+    both = _keyed(docs).join(named, list(KEY))
+    spans = [_verified(F.col("text"), rank, rule, F.array_contains("rules", rule.name)) for rank, rule in enumerate(rules) if trigram_query(rule.pattern)]
+    verified = both.select(*KEY, F.concat(*spans).alias("spans")).where(F.size("spans") > 0)
+    out = stored(verified.groupBy(*KEY).agg(F.first("spans").alias("spans")), "spans")
+    discard(found)
+    return out
+
+
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
     """``docs`` with a column of verified spans.
 
-    A null text counts as empty. Rows that repeat a doc_id are candidates together and are
-    verified each by its own text; a null doc_id is matched like any other. Other columns
-    pass through, but one named as ``into`` is replaced. Matches that fail a length are
-    dropped and not retried.
+    A null text counts as empty. Rows are told apart by id, null or not, and text, so that
+    rows that repeat an id are each treated by their own text. No rows: no rows. Other
+    columns pass through, whatever their names, but one named as ``into`` is replaced.
+    Matches that fail a length are dropped and not retried.
     """
-    found = candidates(trigram_index(docs.select("doc_id", "text"), trigrams(rules)), rules)
-    found = found.withColumnsRenamed({"doc_id": "_id", "rules": "_rules"})
-    both = docs.drop(into).join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left")
     text = F.coalesce(docs["text"], F.lit(""))
-    spans = []
-    for rank, rule in enumerate(rules):
-        indexed = F.coalesce(F.array_contains("_rules", rule.name), F.lit(False))
-        test = indexed if trigram_query(rule.pattern) else text.rlike(rule.test or rule.pattern)
-        spans.append(_verified(text, rank, rule, test))
-    return both.withColumn(into, F.array_sort(F.concat(*spans))).drop("_id", "_rules")
+    scanned = [_verified(text, rank, rule, text.rlike(rule.test or rule.pattern)) for rank, rule in enumerate(rules) if not trigram_query(rule.pattern)]
+    id_ = docs["doc_id"].cast("string")
+    names = fresh(docs, *KEY, "scanned", "spans")
+    own = [F.coalesce(id_, F.lit("")), id_.isNull(), F.xxhash64(docs["text"]), F.concat(F.array().cast(SPANS), *scanned)]
+    keyed = docs.withColumns(dict(zip(names, own, strict=False)))
+    spans = indexed_spans(docs.select("doc_id", "text"), rules).withColumnsRenamed(dict(zip((*KEY, "spans"), (*names[:3], names[4]), strict=True)))
+    all_ = F.array_sort(F.concat(F.col(names[3]), F.coalesce(F.col(names[4]), F.array().cast(SPANS))))
+    return keyed.join(spans, names[:3], "left").withColumn(into, all_).select(*[c for c in docs.columns if c.lower() != into.lower()], into)
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
@@ -200,4 +216,4 @@ def secrets_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-__all__ = ["BASE", "RULES", "SPAN", "Rule", "candidates", "find_secrets", "secrets_digest", "trigram_index", "trigram_query", "trigrams"]
+__all__ = ["BASE", "RULES", "Rule", "candidates", "find_secrets", "secrets_digest", "trigram_index", "trigram_query", "trigrams"]
