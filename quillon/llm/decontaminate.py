@@ -22,7 +22,7 @@ from quillon.llm.words import MEMORY, mixed
 
 #: Tokens in a window (short items have shorter ones), and the share of an item's tokens that a leak's windows cover.
 WINDOW, SHARE = 8, 0.6
-#: Items of fewer tokens say nothing about where they come from and match nothing.
+#: Items of fewer tokens match verbatim alone, and where they stand as a sentence or line of their own.
 LEAST = 4
 #: Shortest window of an item of WINDOW tokens or more, and covered tokens that are enough of an item of any length.
 SHORTEST, PART = 5, 20
@@ -134,6 +134,9 @@ class _Texts:
         before = _before(kind, first, _STOPPED)
         after = np.append(kind[1:], np.int8(_STOPPED))
         self.start = before == _STOPPED
+        # Where nothing but marks that part slots stands before the end of a sentence, line or text.
+        ends = np.append(self.owner[1:] != self.owner[:-1], True) if len(kind) else np.empty(0, bool)
+        self.stop = ends | (after == _STOPPED)
         said = (kind == _WORD) | (kind == _KNOWN) | (kind == _NUM) | (kind == _UNIT) | (kind == _CAPITAL) | (kind == _UNIT_CAPITAL)
         unit = ((kind == _UNIT) | (kind == _UNIT_CAPITAL) | (kind == _SIGN)) & (before == _NUM)
         number = (kind == _NUM) | unit | (kind == _SIGN) & (after == _NUM)
@@ -208,7 +211,7 @@ def _item_windows(names: np.ndarray, length: int):
                 for stream in (_PLAIN, _LONG, _BRIEF):
                     at, h = texts.stream(stream)
                     n = len(h)
-                    if n < LEAST or (stream == _LONG and n < WINDOW) or (stream == _BRIEF and n >= WINDOW):
+                    if n == 0 or (stream != _PLAIN and n < LEAST) or (stream == _LONG and n < WINDOW) or (stream == _BRIEF and n >= WINDOW):
                         continue
                     w = min(length, _window_of(n))
                     for k, hashes in _growing(h, stream, w):
@@ -217,7 +220,7 @@ def _item_windows(names: np.ndarray, length: int):
                             for i, x in enumerate(signed):
                                 slots, tokens = _row(texts, stream, at, h, i, w, True)
                                 # A list of names or numbers alone says nothing.
-                                if w - len(slots) >= LEAST // 2:
+                                if stream == _PLAIN or w - len(slots) >= LEAST // 2:
                                     rows.append((id_, 0, x, stream, i, int(at[i]), n, w, slots, tokens))
             yield pd.DataFrame(rows, columns=_WINDOW_COLUMNS)
 
@@ -240,7 +243,10 @@ def _document_windows(names: np.ndarray, bits: np.ndarray, lengths: list[tuple[i
                     for w, hashes in _growing(h, stream, max(some)):
                         if w not in some:
                             continue
-                        hit = np.flatnonzero(admitted(bits, hashes) & (owner[: len(hashes)] == owner[w - 1 :]))
+                        fits = owner[: len(hashes)] == owner[w - 1 :]
+                        if w < LEAST:
+                            fits &= texts.start[at[: len(hashes)]] & texts.stop[at[w - 1 :]]
+                        hit = np.flatnonzero(admitted(bits, hashes) & fits)
                         for i in hit.tolist():
                             d = low + int(owner[i])
                             slots, tokens = _row(texts, stream, at, h, i, w, False)
@@ -361,10 +367,11 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = WINDOW, share: float
 
     A document contains an item if a chain of windows, of plain words whatever their case
     or of the template, covers ``share`` of the item's tokens (at least WINDOW of them; PART
-    are enough; items of fewer than WINDOW wholly) and the slot values map one to one.
-    ``exact`` says that the values are the same. Null ids and null texts, or texts of fewer
-    than LEAST tokens, on either side yield nothing; rows that repeat a document yield its
-    pairs once. Window hashes are confirmed token by token.
+    are enough; items of fewer than WINDOW wholly, and of fewer than LEAST verbatim and as a
+    sentence or line of its own) and the slot values map one to one. ``exact`` says that the
+    values are the same. Null ids, null texts and texts without tokens on either side, and
+    empty tables, yield nothing; rows that repeat a document yield its pairs once. Window
+    hashes are confirmed token by token. Other columns are ignored.
     """
     names = item_names(items)
     known = item_windows(items, length, names).withColumnsRenamed({"slots": "item_slots", "at": "item_at", "n": "item_n", "tokens": "item_tokens"})

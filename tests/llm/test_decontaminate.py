@@ -15,10 +15,11 @@ def found(spark, docs, items):
 
 
 def test_leaks(spark):
-    items = [(0, ITEM), (1, "What is the boiling point of tin?"), (2, "ok"), (3, None), (4, "")]
+    items = [(0, ITEM), (1, "What is the boiling point of tin?"), (2, "ok"), (3, None), (4, ""), (5, "Define entropy."), (6, "?!")]
     docs = [(1, FILL + ITEM + FILL, 0), (2, FILL + OTHER + FILL, 0), (3, FILL + BROKEN + FILL, 0), (4, FILL * 9, 0), (5, ITEM.upper(), 0), (6, None, 0), (7, "", 0), (8, "So: what is the boiling point of tin? Tell.", 0), (None, ITEM, 0), (1, FILL + ITEM + FILL, 0)]
+    docs += [(9, FILL + "Define entropy. " + FILL, 0), (10, "they define entropy here. ok then, not ok", 0), (11, "Quiz\ndefine ENTROPY\n", 0), (12, FILL + "OK!", 0)]
     got = found(spark, docs, items)
-    assert got == {(1, 0): True, (2, 0): False, (8, 1): True}
+    assert got == {(1, 0): True, (2, 0): False, (5, 0): True, (8, 1): True, (9, 5): True, (11, 5): True, (12, 2): True}
 
 
 def test_parts_and_many_copies(spark):
@@ -54,3 +55,26 @@ def test_long_part_of_a_long_item(spark):
     item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59))
     docs = [(1, FILL + " ".join(item.split()[:25]), 0), (2, FILL + " ".join(item.split()[:12]), 0)]
     assert set(found(spark, docs, [(0, item)])) == {(1, 0)}
+
+
+APPLES = "Tom has 5 apples. Ann has 3 apples. Bob has twice as many as Ann. How many apples do Tom, Ann and Bob have?"
+
+
+def test_copies_in_other_cases_and_with_other_parameters(spark):
+    items = [(0, ITEM), (1, APPLES), (2, LONG)]
+    named = APPLES.replace("Tom", "Maria").replace("Ann", "Peter").replace("Bob", "Lena").replace("5", "12").replace("3", "7")
+    docs, want = [], {}
+    for i, text in items:
+        words = text.split()
+        variants = [text, text.lower(), text.upper(), " ".join(words[: len(words) // 2] + ["indeed"] + words[len(words) // 2 :]), " ".join(words[: len(words) // 2] + words[len(words) // 2 + 1 :])]
+        for k, v in enumerate(variants):
+            docs += [(100 * i + 10 * k, FILL + v + " " + FILL, 0), (100 * i + 10 * k + 1, v, 0)]
+            want |= {(100 * i + 10 * k, i): 1, (100 * i + 10 * k + 1, i): 1}
+    docs += [(900, FILL + named, 0), (901, FILL + OTHER, 0), (902, FILL * 30, 0), (903, FILL + "Tom and Ann have apples, and Bob has pears.", 0)]
+    got = found(spark, docs, items)
+    assert set(got) == set(want) | {(900, 1), (901, 0)}
+
+
+def test_very_long_texts(spark):
+    docs = [(1, FILL * 4000 + ITEM + FILL * 4000, 0), (2, "x" * 300_000, 0), (3, "5 km " * 40_000, 0)]
+    assert set(found(spark, docs, [(0, ITEM)])) == {(1, 0)}
