@@ -2,7 +2,9 @@
 
 A page becomes blocks of text with the tags they stand in. The first pass decides long,
 dense and clearly marked blocks by length, stop-word density, link density and container;
-the second gives undecided short blocks the label of their nearest decided neighbours.
+the second gives undecided short blocks the label of their nearest decided neighbours. A
+page's article or main element is evidence: its blocks have the better prior in both
+passes, and what stands outside is left out unless more good text stands there.
 """
 
 from __future__ import annotations
@@ -26,7 +28,11 @@ STOP_WORDS = frozenset(
 #: Blocks of fewer characters are short; of at least as many, long. Densities that decide.
 SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 120, 0.33, 0.2, 0.3
 #: Elements whose text is dropped with them.
-DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video select option button textarea input form dialog menu".split())
+DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video select option button textarea input dialog menu".split())
+#: Elements that do not end a head whose end tag is missing.
+METADATA = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+#: Good characters in a form that make it the frame of a page.
+FRAME = 500
 #: Elements that mark boilerplate, and those that mark the article.
 BOILERPLATE, ARTICLE = frozenset("nav footer aside header".split()), frozenset("article main".split())
 #: Elements that end a block.
@@ -42,8 +48,11 @@ _MARKUP = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Words of a class, id or role that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
-_MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|complementary|consent|contentinfo|cookie|cookies|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|widget)(?=$|[\s_-])", re.I)
+#: Words of a class, id or role that mark menus, headers, footers, sidebars, notices, adverts and comments.
+MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe widget".split())
+#: Of these, those that an article's own head has; words that make a name say how a page is laid out, before or after.
+OWN_HEAD, BEFORE, AFTER = frozenset("header masthead banner".split()), frozenset("has no with without is not js".split()), frozenset("open closed on off enabled disabled none".split())
+_PARTS = re.compile(r"[_-]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in RAW}
 
 
@@ -53,15 +62,26 @@ class Block:
 
     text: str
     linked: int
-    article: bool
+    article: int
     marked: bool
     heading: bool
+    form: int
+
+
+def names_mark(names: str, in_article: bool) -> bool:
+    """Whether one of the whole names of an element marks it as no part of the article."""
+    for name in names.lower().split():
+        parts = [p for p in _PARTS.split(name) if p]
+        if parts and parts[0] not in BEFORE and parts[-1] not in AFTER and any(p in MARKS and not (in_article and p in OWN_HEAD) for p in parts):
+            return True
+    return False
 
 
 def blocks_of(html: str) -> list[Block]:
     """Blocks of a page in order; markup, comments and dropped elements leave none."""
     out: list[Block] = []
     stack: list[tuple[str, bool]] = []
+    articles, forms, frames = 0, 0, set()
     open_: dict[str, int] = {}
     text: list[str] = []
     linked, marks, breaks, dropped = 0, 0, 0, 0
@@ -70,12 +90,14 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal linked, breaks
         said = " ".join(unescape("".join(text)).split()) if text else ""
         if said:
-            out.append(Block(said, min(linked, len(said)), any(open_.get(t) for t in ARTICLE), marks > 0, any(open_.get(f"h{i}") for i in range(1, 7))))
+            out.append(Block(said, min(linked, len(said)), articles if any(open_.get(t) for t in ARTICLE) else 0, marks > 0, any(open_.get(f"h{i}") for i in range(1, 7)), forms if open_.get("form") else 0))
         text.clear()
         linked, breaks = 0, 0
 
     def say(part: str) -> None:
         nonlocal linked, breaks
+        if stack and stack[-1][0] == "head" and part.strip():
+            pop()
         if part and not dropped:
             text.append(part)
             if not part.isspace():
@@ -115,6 +137,9 @@ def blocks_of(html: str) -> list[Block]:
                     pop()
                 pop()
             continue
+        if open_.get("head") and name not in METADATA:
+            while open_.get("head"):
+                pop()
         for other in CLOSES.get(name, ()):
             if stack and stack[-1][0] == other:
                 pop()
@@ -125,45 +150,57 @@ def blocks_of(html: str) -> list[Block]:
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
         names = " ".join(filter(None, (x for found in _NAMES.findall(attributes) for x in found))) if attributes else ""
-        marked = name in BOILERPLATE and not (name == "header" and open_.get("article")) or bool(names and name not in ("html", "body", "article", "main") and _MARKED.search(names))
+        inside = any(open_.get(t) for t in ARTICLE)
+        if name == "main" or name == "article" and not inside:
+            articles += 1
+            frames.add(forms if open_.get("form") else 0)
+        if name == "main":
+            # What main stands in is the page's frame, whatever its names say.
+            stack[:] = [(t, m and t in BOILERPLATE) for t, m in stack]
+            marks = sum(m for _, m in stack)
+        forms += name == "form" and not open_.get("form")
+        marked = name in BOILERPLATE and not (name == "header" and inside) or bool(names and name not in ("html", "body", "main") and names_mark(names, inside))
         stack.append((name, marked))
         open_[name] = open_.get(name, 0) + 1
         marks += marked
         dropped += name in DROPPED
     end()
+    for b in out:
+        # A form around the article is the page's frame.
+        b.form = 0 if b.form in frames else b.form
     return out
 
 
-def first_pass(b: Block) -> str:
-    """good, bad, near (almost good) or short (undecided)."""
+def first_pass(b: Block, prior: bool) -> str:
+    """good, bad, near (almost good) or short (undecided); with the article's prior a block of few stop words is near."""
     share = b.linked / len(b.text)
     if b.marked or share > LINKS:
         return "bad"
-    if b.article:
-        return "good"
     if len(b.text) < SHORT:
-        return "bad" if b.linked else "short"
+        return "bad" if b.linked and not prior else "short"
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
     if stops >= STOPS_HIGH:
         return "good" if len(b.text) > LONG else "near"
-    return "near" if stops >= STOPS_LOW else "bad"
+    return "near" if stops >= STOPS_LOW or prior else "bad"
 
 
-def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
+def second_pass(blocks: list[Block], labels: list[str], prior: bool) -> list[bool]:
     """Whether each block is kept: near and short ones follow their nearest decided neighbours.
 
     A short block between a good and a bad one follows the nearer, a tie going to good if
-    the block is a heading before good text; with near blocks on a side, that side counts
-    as good. Near blocks are kept unless both sides are bad.
+    the block is a heading before good text, or with the article's prior; with near blocks
+    on a side, that side counts as good. Near blocks are kept unless both sides are bad.
+    With the prior a side without a decided block is good, and marked blocks decide nothing.
     """
-    n = len(labels)
-    before, after = [(0, "bad")] * n, [(0, "bad")] * n
+    n, edge = len(labels), "good" if prior else "bad"
+    before, after = [(0, edge)] * n, [(0, edge)] * n
     for out, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
-        last = (n, "bad")
+        last = (n, edge)
         for i in order:
             out[i] = last
-            last = (1, labels[i]) if labels[i] in ("good", "bad") else (last[0] + 1, last[1])
+            decides = labels[i] in ("good", "bad") and not (prior and blocks[i].marked)
+            last = (1, labels[i]) if decides else (last[0] + 1, last[1])
     kept = []
     for i, label in enumerate(labels):
         (d0, a), (d1, b) = before[i], after[i]
@@ -174,25 +211,42 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
         elif label == "near":
             kept.append(True)
         else:
-            nearer = a if d0 < d1 else b if d1 < d0 else ("good" if blocks[i].heading and b == "good" else "bad")
+            nearer = a if d0 < d1 else b if d1 < d0 else ("good" if prior or blocks[i].heading and b == "good" else "bad")
             kept.append(nearer == "good")
     return kept
 
 
+def _kept(blocks: list[Block], prior: bool) -> list[bool]:
+    return second_pass(blocks, [first_pass(b, prior) for b in blocks], prior)
+
+
 def main_text(html: str | None) -> str:
     """The kept blocks of a page, joined by an empty line; '' for a null or empty page.
 
-    If a page marks an article, unmarked blocks outside it are dropped.
+    Forms without much good text are left out. If a page marks an article and at least as
+    much good text stands there as outside, its blocks have the article's prior and others
+    are left out; else all blocks are judged alike.
     """
     blocks = blocks_of(html or "")
-    if any(b.article for b in blocks):
+    good = [len(b.text) if not b.marked and first_pass(b, False) == "good" else 0 for b in blocks]
+    for form in {b.form for b in blocks} - {0}:
+        own = [i for i, b in enumerate(blocks) if b.form == form]
+        if sum(good[i] for i in own) < FRAME:
+            for i in own:
+                blocks[i].marked, good[i] = True, 0
+    inside = sum(len(b.text) for b in blocks if b.article and not b.marked and b.linked <= LINKS * len(b.text))
+    prior = inside > 0 and inside >= sum(g for b, g in zip(blocks, good, strict=True) if not b.article)
+    if prior:
         blocks = [b for b in blocks if b.article]
-    kept = second_pass(blocks, [first_pass(b) for b in blocks])
-    return "\n\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
+    return "\n\n".join(b.text for b, keep in zip(blocks, _kept(blocks, prior), strict=True) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
-    """``pages`` with a column of main text; other columns pass through, rows are kept as they are."""
+    """``pages`` with a column of main text, '' where there is none.
+
+    Other columns pass through, but one named as ``into`` is replaced; rows are kept as they
+    are, repeated ones too, each treated alone. No rows: no rows.
+    """
 
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
