@@ -16,12 +16,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Public vocabulary; labelled texts learned from, for each language on average and in all; rounds of learning.
-VOCABULARY, SAMPLE, SAMPLE_BOUND, ROUNDS = "/opt/tokenizers/piece_bpe_32k.model", 300, 20_000, 4
-#: Letters of a word taken together; longer words are scored in such parts, one after the other.
-PART = 24
+from quillon.llm.names import fresh
+from quillon.llm.store import discard, stored
+
+#: Public vocabulary; labelled texts learned from for each language, at most; rounds of learning.
+VOCABULARY, SAMPLE, ROUNDS = "/opt/tokenizers/piece_bpe_32k.model", 300, 4
+#: Words learned from, the most frequent of the sample, in all languages together and for each at least; letters of such a word at most.
+LEARNED, LEARNED_EACH, LEARNED_LETTERS = 500_000, 2_000, 32
+#: Sampled texts up to which their keys are broadcast (8 bytes each); beyond, they meet by a shuffle.
+FEW_SAMPLED = 1 << 17
+#: Words of up to so many letters are scored many at a time, longer ones one by one; letters of these whose pieces are found at a time.
+SHORT, STRETCH = 40, 1 << 14
+#: Below TINY a sum is multiplied by 1 / TINY, and the factor remembered.
+TINY = 1e-150
 #: Probability of a letter that is no piece; weight added to every piece's count.
 FLOOR, SMOOTH = 1e-8, 0.05
 #: Words remembered by a task.
@@ -32,7 +42,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters of a whole text."""
-    return _WORD.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # Numbers such as fractions and circled digits are word characters, but no letters.
+    return [x for w in found for x in ("".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def pieces(path: str = VOCABULARY) -> list[str]:
@@ -102,15 +116,49 @@ def forward(trie: Trie, codes: np.ndarray, probability: np.ndarray) -> np.ndarra
     return alpha
 
 
-def parts_of(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words with the mark of their beginning in parts of at most PART letters, and the word of each part."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        w = "▁" + w
-        for a in range(0, len(w), PART):
-            parts.append(w[a : a + PART])
-            owner.append(i)
-    return parts, np.array(owner, np.int64)
+def by_length(words: list[str], most: int = 4_000_000) -> Iterator[list[int]]:
+    """Indices of words in groups of like length, of at most so many letters with padding."""
+    order, low = sorted(range(len(words)), key=lambda i: len(words[i])), 0
+    while low < len(order):
+        high = low + 1
+        while high < len(order) and (high + 1 - low) * len(words[order[high]]) <= most and len(words[order[high]]) <= 2 * len(words[order[low]]) + 4:
+            high += 1
+        yield order[low:high]
+        low = high
+
+
+def forward_long(trie: Trie, word: str, probability: np.ndarray) -> np.ndarray:
+    """Log probability of one long word in each language, over all segmentations.
+
+    Sums are rescaled as they shrink, so that no length loses them.
+    """
+    codes = np.array([trie.letters.get(c, 0) for c in word], np.int32)
+    n, depth, languages = len(codes), trie.depth, probability.shape[1]
+    alpha, scale = np.zeros((depth, languages)), np.zeros(languages)
+    alpha[-1] = 1  # alpha[-d] is the sum of the prefix that ends d letters back
+    for low in range(0, n, STRETCH):
+        # ending[i, d]: node of the piece of d + 1 letters that ends at letter low + i.
+        begin, high = max(0, low - depth + 1), min(n, low + STRETCH)
+        ending = np.zeros((high - low, depth), np.int32)
+        at, node = np.arange(begin, high), np.ones(high - begin, np.int32)
+        for d in range(depth):
+            end = at + d
+            some = end < high
+            at, node, end = at[some], trie.step[node[some], codes[end[some]]], end[some]
+            alive = node > 0
+            at, node, end = at[alive], node[alive], end[alive]
+            inside = end >= low
+            ending[end[inside] - low, d] = node[inside]
+        for row in ending:
+            # Node 0 has no probability, so lengths without a piece add nothing.
+            now = (alpha[::-1] * probability[row]).sum(axis=0)
+            alpha[:-1] = alpha[1:]
+            alpha[-1] = now
+            if now.min() < TINY:
+                small = now < TINY
+                alpha[:, small] /= TINY
+                scale += small
+    return np.log(alpha[-1]) + scale * np.log(TINY)
 
 
 @dataclass
@@ -122,46 +170,56 @@ class Model:
     probability: np.ndarray
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word in each language."""
-        parts, owner = parts_of(words)
+        """Log probability of each word, marked at its beginning, in each language."""
+        marked = ["▁" + w for w in words]
         out = np.zeros((len(words), len(self.languages)))
-        for a in range(0, len(parts), 50_000):
-            some = parts[a : a + 50_000]
-            alpha = forward(self.trie, self.trie.codes(some), self.probability)
-            ends = alpha[[len(p) for p in some], np.arange(len(some))]
-            np.add.at(out, owner[a : a + 50_000], np.log(ends))
+        short = [i for i, w in enumerate(marked) if len(w) <= SHORT]
+        for group in by_length([marked[i] for i in short]):
+            which = [short[i] for i in group]
+            alpha = forward(self.trie, self.trie.codes([marked[i] for i in which]), self.probability)
+            ends = alpha[[len(marked[i]) for i in which], np.arange(len(which))]
+            with np.errstate(divide="ignore"):
+                out[which] = np.log(ends)
+        for i, w in enumerate(marked):
+            # So do short words of so many unknown letters that their sums vanish.
+            if len(w) > SHORT or not np.isfinite(out[i]).all():
+                out[i] = forward_long(self.trie, w, self.probability)
         return out
 
 
-def learn(texts: list[tuple[str, str]], vocabulary: list[str], rounds: int = ROUNDS) -> Model:
-    """A model from (language, text) pairs; pieces that no language uses are left out."""
-    languages = sorted({lang for lang, _ in texts})
-    counts = {lang: Counter() for lang in languages}
-    for lang, text in texts:
-        counts[lang].update(words_of(text))
+def learn(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int = ROUNDS) -> Model:
+    """A model from each language's word counts; pieces that no language uses are left out.
+
+    Words of more than LEARNED_LETTERS letters are not learned from.
+    """
+    counts = {lang: {w: n for w, n in by.items() if len(w) <= LEARNED_LETTERS} for lang, by in counts.items()}
+    languages = sorted(counts)
     letters = {c for by in counts.values() for w in by for c in w}
     trie = Trie.of(sorted({p for p in vocabulary if set(p) <= letters | {"▁"}} | letters | {"▁"}))
     is_piece = np.zeros(len(trie.step), bool)
     is_piece[list(trie.node_of.values())] = True
     probability = np.zeros((len(trie.step), len(languages)))
     for k, lang in enumerate(languages):
-        known = sorted(counts[lang])
-        parts, owner = parts_of(known)
-        weight = np.array([counts[lang][w] for w in known], float)[owner] if known else np.zeros(0)
-        lengths, codes = np.array([len(p) for p in parts], np.int64), trie.codes(parts)
+        known = ["▁" + w for w in sorted(counts[lang])]
+        groups = []
+        for group in by_length(known):
+            some = [known[i] for i in group]
+            codes = trie.codes(some)
+            groups.append((codes, np.array([len(w) for w in some]), np.array([counts[lang][w[1:]] for w in some], float), list(_edges(trie, codes))))
         p = np.where(is_piece, 1.0 / is_piece.sum(), 0.0)[:, None]
         p[2] = FLOOR
-        edges = list(_edges(trie, codes))
         for _ in range(rounds):
-            alpha = forward(trie, codes, p)[:, :, 0]
-            beta = np.zeros_like(alpha)
-            total = alpha[lengths, np.arange(len(parts))]
-            beta[lengths, np.arange(len(parts))] = 1
             found = np.zeros(len(p))
-            for i, j, part, node in reversed(edges):
-                through = p[node, 0] * beta[j, part]
-                beta[i, part] += through
-                found += np.bincount(node, alpha[i, part] * through * weight[part] / total[part], len(p))
+            for codes, lengths, weight, edges in groups:
+                every = np.arange(len(lengths))
+                alpha = forward(trie, codes, p)[:, :, 0]
+                beta = np.zeros_like(alpha)
+                total = alpha[lengths, every]
+                beta[lengths, every] = 1
+                for i, j, part, node in reversed(edges):
+                    through = p[node, 0] * beta[j, part]
+                    beta[i, part] += through
+                    found += np.bincount(node, alpha[i, part] * through * weight[part] / total[part], len(p))
             found = np.where(is_piece, found + SMOOTH, 0.0)
             p = (found / found.sum())[:, None]
             p[2] = FLOOR
@@ -173,22 +231,38 @@ def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """About ``sample`` labelled texts of each language, chosen by the hash of their ids.
+def training_words(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, word, n): the words of the ``sample`` labelled texts of each language whose ids and texts hash least.
 
-    Languages are counted over all rows first, so that rare ones keep all of theirs.
-    Held-out rows, null texts and null languages are left out.
+    Held-out rows, null texts and null languages are left out. Each task keeps the least
+    hashes of its own rows before any are shuffled, and no text is shuffled.
     """
     known = docs.where(~_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = known.groupBy("lang").count().select(F.col("lang").alias("_lang"), (F.lit(float(sample)) / F.col("count")).alias("share"))
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.join(F.broadcast(share.limit(10_000)), known["lang"] == share["_lang"]).where(drawn < F.col("share"))
-    return sorted((r.lang, r.text) for r in rows.select("lang", "text").limit(SAMPLE_BOUND).collect())
+    known = known.select("lang", "text", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("draw"))
+    least = W.partitionBy("lang").orderBy("draw")
+    picked = stored(known.select("lang", "draw").withColumn("row", F.row_number().over(least)).where(F.col("row") <= sample).select("draw").distinct(), "sample")
+    keys = F.broadcast(picked) if picked.count() <= FEW_SAMPLED else picked
+    rows = known.join(keys, "draw", "left_semi").select("lang", "text")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            by = Counter((lang, w) for lang, text in zip(batch["lang"], batch["text"], strict=True) for w in words_of(text) if len(w) <= LEARNED_LETTERS)
+            yield pd.DataFrame([(lang, w, n) for (lang, w), n in by.items()], columns=["lang", "word", "n"])
+
+    return rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary: str = VOCABULARY) -> Model:
-    """A model learned from the labelled rows of ``docs`` (see ``training_sample``)."""
-    return learn(training_sample(docs, sample), pieces(vocabulary))
+    """A model learned from the labelled rows of ``docs`` (see ``training_words``): the LEARNED most frequent words."""
+    words = stored(training_words(docs, sample), "words")
+    languages = max(1, words.agg(F.count_distinct("lang")).first()[0])
+    most = W.partitionBy("lang").orderBy(F.desc("n"), "word")
+    kept = words.withColumn("row", F.row_number().over(most)).where(F.col("row") <= max(LEARNED_EACH, LEARNED // languages))
+    counts: dict[str, dict[str, int]] = {}
+    for r in kept.select("lang", "word", "n").collect():
+        counts.setdefault(r.lang, {})[r.word] = r.n
+    discard(words)
+    return learn(counts, pieces(vocabulary))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -196,7 +270,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text, or one without letters, or a model without languages gives ``und`` and 0.
     Languages are equally likely beforehand; ties go to the first by name. Other columns
-    pass through; lang_pred and score replace columns of these names.
+    pass through; lang_pred and score replace columns of these names. No rows: no rows.
     """
     trie = model.trie
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, trie.letters, trie.step, trie.depth, model.probability))
@@ -226,8 +300,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     predicted = F.pandas_udf(predict, "lang_pred string, score double")
-    found = docs.drop("lang_pred", "score").withColumn("_found", predicted("text"))
-    return found.select("*", "_found.lang_pred", "_found.score").drop("_found")
+    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    (name,) = fresh(docs, "found")
+    found = docs.withColumn(name, predicted("text"))
+    return found.select(*rest, F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("score"))
 
 
 def langid_digest(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """The forward sum against all segmentations, and held-out accuracy."""
 
 import itertools
+import math
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 
@@ -36,22 +39,45 @@ def test_forward_sums_over_all_segmentations():
 
 
 def test_unknown_letters_and_long_words_have_scores():
-    model = langid.learn([("en", "the cat sat on the mat " * 5), ("de", "der hund und die katze " * 5)], ["▁", "the", "der", "at", "▁the"])
-    s = model.score(["the", "жук", "t" * 500])
+    model = langid.learn({"en": Counter("the cat sat on the mat ".split() * 5), "de": Counter("der hund und die katze ".split() * 5)}, ["▁", "the", "der", "at", "▁the"])
+    s = model.score(["the", "жук", "t" * 500, "ж" * 39, "thehund" * 20_000])
     assert np.isfinite(s).all() and s[0].argmax() == model.languages.index("en")
 
 
+def test_long_words_are_summed_over_all_segmentations(monkeypatch):
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    trie = langid.Trie.of(["▁", "a", "b", "ab", "▁a", "ba", "bab", "aba"])
+    rng = np.random.default_rng(2)
+    probability = np.zeros((len(trie.step), 2))
+    for node in trie.node_of.values():
+        probability[node] = rng.random(2) * 0.3
+    probability[2] = langid.FLOOR
+    word = "▁" + "".join(rng.choice(list("ab")) for _ in range(500)) + "xx"
+    for w in (word[:30], word):
+        want = []
+        for k in range(2):
+            # Exact sums of fractions, one prefix after the other.
+            p = {x: Fraction(probability[n, k]) for x, n in trie.node_of.items()}
+            alpha = [Fraction(1)]
+            for j in range(1, len(w) + 1):
+                alpha.append(sum(alpha[i] * p.get(w[i:j], Fraction(langid.FLOOR) if j - i == 1 and w[i] == "x" else 0) for i in range(max(0, j - 4), j)))
+            want.append(math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator))
+        assert np.allclose(langid.forward_long(trie, w, probability), want, rtol=1e-9)
+        assert np.allclose(langid.Model(["x", "y"], trie, probability).score([w[1:]])[0], want, rtol=1e-9)
+
+
 def test_digest(spark):
     rows = [(i, "the quick brown fox and the lazy dog " * (1 + i % 3), "en", 1) for i in range(60)] + [(100 + i, "der schnelle braune fuchs und der faule hund " * (1 + i % 3), "de", 2) for i in range(60)]
-    rows += [(300, None, "en", 3), (301, "", None, 3), (302, "123 !!", "de", 3), (303, "der hund", None, 3), (None, "the dog", "en", 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    rows += [(300, None, "en", 3), (301, "", None, 3), (302, "123 !!", "de", 3), (303, "der hund", None, 3), (None, "the dog", "en", 3), (304, "½ ² ① ٣", "en", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").selectExpr("*", "1 as share", "2 as found", "3 as draw")
+    assert langid.identify(docs, langid.fit(docs)).columns == ["doc_id", "text", "lang", "share", "found", "draw", "lang_pred", "score"]
     got = langid.langid_digest(docs).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     truth = {i: lang for i, _, lang, _ in rows if i is not None and i < 300}
     assert all(by[i].lang_pred == lang for i, lang in truth.items())
     assert all(by[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in truth)
-    assert [by[i].lang_pred for i in (300, 301, 302, 303)] == ["und", "und", "und", "de"] and by[300].score == 0.0
+    assert [by[i].lang_pred for i in (300, 301, 302, 303, 304)] == ["und", "und", "und", "de", "und"] and by[300].score == 0.0
     assert all(0 <= r.score <= 1 for r in got)
 
 
@@ -59,3 +85,19 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "the dog", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.langid_digest(docs).collect()] == ["und"]
     assert langid.langid_digest(docs.where("false")).count() == 0
+
+
+def test_many_languages_are_all_learned(spark):
+    name = lambda k: "l" + "abcdefghijklmnopqrst"[k // 10] + "abcdefghij"[k % 10]
+    docs = spark.createDataFrame([(3 * k + i, f"{name(k)} wort{name(k)} " * (3 + i), name(k)) for k in range(200) for i in range(3)], "doc_id long, text string, lang string")
+    words = langid.training_words(docs, 2).collect()
+    learned = {r.lang for r in words}
+    rest = {name(k) for k in range(200) if any(zlib.crc32(str(3 * k + i).encode()) % 3 != 1 for i in range(3))}
+    assert learned == rest and langid.fit(docs, 2).languages == sorted(rest)
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(i, ("the dog and the cat ", "der hund und die katze ")[i % 2] * 5, ("en", "de")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    more = spark.createDataFrame([(100, "the cat " * 100_000), (101, "derhundunddiekatze" * 3_000), (102, " " * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(more, langid.fit(docs)).collect()}
+    assert got == {100: "en", 101: "de", 102: "und"}
