@@ -56,6 +56,10 @@ def discard(*tables: DataFrame | None) -> None:
     for df in tables:
         _, path = _PATHS.pop(id(df), (None, None))
         if path:
-            spark = df.sparkSession
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            deleted(df.sparkSession, path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -17,13 +17,41 @@ def test_pipeline(spark, tmp_path):
     rows += [(205, say("de", 40) + " mail a.b@c.de or 10.1.2.3 now", "de", None, 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {i for i, (_, root) in brute([(i, t) for i, t, *_ in rows if langid.words_of(t)], 5, 80).items() if i == root} - {204}
+    assert not {200, 201, 202, 203, 204} & kept
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+    clean = {r.doc_id: r for r in docs.collect()}
+    assert set(clean) == kept and clean[0].text == rows[0][1]
+    assert "<email>" in clean[205].text and "<ip>" in clean[205].text and clean[205].n_chars == len(clean[205].text)
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    lettered = [(i, t) for i, t, *_ in rows if langid.words_of(t)]
-    kept = {i for i, (_, root) in brute(lettered, 5, 80).items() if i == root} - {204}
-    assert set(got) == kept and not {200, 201, 202, 203, 204} & set(got)
-    assert "<email>" in got[205].text and "<ip>" in got[205].text and got[205].n_chars == len(got[205].text)
-    assert all(r.taken <= 3 * r["size"] and r["size"] == len(r.text.split()) for r in got.values())
-    assert got[0].text == rows[0][1]
+    assert set(got) <= kept and all(0 < r.taken <= 3 * r["size"] and r["size"] == len(r.text.split()) and r.text == clean[i].text for i, r in got.items())
+    for source, target in {(r.source, r.target) for r in got.values()}:
+        assert sum(r.taken for r in got.values() if r.source == source) == round(target)
+
+
+def test_nulls_repeats_and_other_columns(spark, tmp_path):
+    text = lambda k: " ".join(f"the river of{k} and{k * 7} people in that{k * 3} house was for water{j}" for j in range(6))
+    rows = [(1, text(1), "en", "a", 0), (1, text(1), "en", "a", 0), (1, text(2), "en", None, 0), (None, text(3), None, "a", None), (None, text(4), "en", "b", 0), (None, text(4), "en", "b", 0), (None, None, None, None, None), (2, "", "en", "a", 0)]
+    rows += [(10 + i, text(20 + i), "en", "a", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.selectExpr("*", "1 as size", "2 as id", "3 as row_key", "4 as found").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None), (None, text(1))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), "doc_id long, text string, lang string, source string, n_chars long")
+    got = docs.collect()
+    assert len(got) == len({r.text for r in got}) == 34 and {r.text for r in got} == {t for _, t, *_ in rows if t}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_stages():
