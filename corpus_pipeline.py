@@ -8,11 +8,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, jaccard, langid, mixing, pii
-from quillon.llm.store import shared_folder, stored
+from quillon.llm.store import deleted, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near-duplicates: words in a shingle and similarity in hundredths.
@@ -22,26 +21,14 @@ SURE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without letters or without a language that is likelier than all others."""
+    """Reject documents without letters or without a language that is likelier than all others; no rows give no rows."""
     found = langid.identify(docs.select(*COLUMNS), langid.fit(docs))
     return found.where((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= SURE)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of linked documents the one that names it, the least doc_id.
-
-    Of rows that repeat this id in a group one stays; rows without words stay, and so do
-    rows without an id that are linked with nothing that has one.
-    """
-    grouped = jaccard.jaccard_components(docs, SHINGLE, SIMILAR)
-    gone = stored(grouped.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct(), "gone")
-    rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    twice = rest.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is not null and n > 1").select("doc_id")
-    if twice.isEmpty():
-        return rest.select(*COLUMNS)
-    once = W.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source"))
-    again = rest.join(twice, "doc_id").withColumn("row", F.row_number().over(once)).where("row = 1")
-    return rest.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(again.select(*COLUMNS))
+    """Keep of each group of linked documents one, that of the least doc_id; rows without words stay."""
+    return jaccard.without_near_duplicates(docs.select(*COLUMNS), SHINGLE, SIMILAR)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +44,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the words that the mix takes of each, and its source's target."""
-    return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS, "size", "source_size", "target", "taken")
+    """The documents that the mix takes words of, with how many it takes (up to three times all) and their source's target."""
+    taken = mixing.mixed(docs.select(*COLUMNS)).where("taken > 0")
+    return taken.select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES = [
@@ -73,10 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each over what the one before has kept."""
+    """All stages over ``documents``, each over what the one before has kept.
+
+    An empty table runs through all stages and gives an empty result. What a stage has
+    written is deleted when the next one has read it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if before:
+            deleted(spark, before)
+        before = f"{folder}/{k}"
     return docs
