@@ -18,11 +18,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm.anchors import Hasher, chosen, finish, minima
-from quillon.llm.store import stored
+from quillon.llm.store import discard, stored
 
 #: Bytes of a repeated string; of the grams that choose positions; windows in a block.
 LENGTH, GRAM, BLOCK = 100, 32, 8
@@ -69,7 +68,7 @@ def _each(function: Callable[[np.ndarray, list | None], tuple], columns: list[st
             work = b["work"] if "work" in b else [None] * len(b)
             parts = [(doc, rank, function(_bytes(text), doc, some)) for doc, rank, text, some in zip(b["doc"], b["rank"], b["text"], work, strict=True)]
             n = [len(p[2][0]) for p in parts]
-            out = {"doc": np.repeat(np.array([p[0] for p in parts], np.int64), n), "rank": np.repeat(np.array([p[1] for p in parts], np.int32), n)}
+            out = {"doc": np.repeat(np.array([p[0] for p in parts], np.int64), n), "rank": np.repeat(np.array([p[1] for p in parts], np.int64), n)}
             for i, c in enumerate(columns):
                 values = np.concatenate([p[2][i] for p in parts]) if parts else np.empty(0, np.int64)
                 out[c] = values.view(np.int64) if values.dtype == np.uint64 else values
@@ -119,15 +118,15 @@ def _window_rows(length: int, gram: int, block: int) -> Callable:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc, rank, text): a null id comes first; rows that repeat an id are ranked by the hash of their text."""
+    """(doc, rank, text): a null id comes first; rows that repeat an id come in the order of the hashes of their texts."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), "text")
     ids = keyed.select("doc", F.xxhash64("text").alias("t"))
-    twice = ids.groupBy("doc").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("doc")
+    twice = stored(ids.groupBy("doc").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("doc"), "twice")
     if twice.isEmpty():
-        return keyed.select("doc", F.lit(0).alias("rank"), "text")
-    ranks = ids.join(twice, "doc").distinct().select("doc", "t", (F.row_number().over(W.partitionBy("doc").orderBy("t")) - 1).alias("rank"))
-    joined = keyed.withColumn("t", F.xxhash64("text")).join(ranks, ["doc", "t"], "left")
-    return joined.select("doc", F.coalesce("rank", F.lit(0)).alias("rank"), "text")
+        discard(twice)
+        return keyed.select("doc", F.lit(0).cast("long").alias("rank"), "text")
+    marked = keyed.join(twice.withColumn("again", F.lit(True)), "doc", "left")
+    return marked.select("doc", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("rank"), "text")
 
 
 def _not_first(rows: DataFrame, by: list[str], place: list[str], firsts: DataFrame) -> DataFrame:
@@ -139,33 +138,101 @@ def _not_first(rows: DataFrame, by: list[str], place: list[str], firsts: DataFra
 
 
 def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """(doc, rank, begin, end): spans of bytes covered by strings that start earlier too; they may overlap."""
+    """(doc, rank, spans): the spans (begin, end) of bytes covered by strings that start earlier too; they may overlap.
+
+    What a join meets is a table of its own each time, so that Spark can split the rows of
+    a key that very many positions share.
+    """
     place = ["doc", "rank", "at"]
     first = lambda *c: F.min(F.struct(*c)).alias("place")
-    made = numbered.mapInPandas(_anchor_rows(length, gram), "doc long, rank int, h long, context long, at int, first int, last int")
-    again = made.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    several = lambda rows, key, name: stored(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), name)
+    made = numbered.mapInPandas(_anchor_rows(length, gram), "doc long, rank long, h long, context long, at int, first int, last int")
+    again = several(made, "h", "again")
     anchored = stored(made.join(again, "h"), "anchors")
+    discard(again)
 
     firsts = stored(anchored.groupBy("h", "context").agg(first(*place, "first", "last")), "firsts")
     covered = _not_first(anchored, ["h", "context"], place, firsts).select("doc", "rank", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
-    spans = stored(covered, "spans")
+    spans = [stored(covered, "spans")]
+    discard(anchored)
 
-    mixed = firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    mixed = several(firsts, "h", "mixed")
     work = firsts.join(mixed, "h").select("place.*").groupBy("doc", "rank").agg(F.collect_list(F.struct("at", "first", "last")).alias("work"))
-    blocks = stored(numbered.join(work, ["doc", "rank"]).select("doc", "rank", "text", "work").mapInPandas(_block_rows(length, gram, block), "doc long, rank int, shared long, span long, at int, block int"), "blocks")
+    blocks = stored(numbered.join(work, ["doc", "rank"]).select("doc", "rank", "text", "work").mapInPandas(_block_rows(length, gram, block), "doc long, rank long, shared long, span long, at int, block int"), "blocks")
+    discard(firsts, mixed)
 
     firsts = stored(blocks.groupBy("shared", "span").agg(first(*place, "block")), "firsts")
     begin = F.col("at") - F.least((F.col("block") + 1) * block - 1, F.lit(length - gram))
     covered = _not_first(blocks, ["shared", "span"], place, firsts).select("doc", "rank", begin.alias("begin"), (F.col("at") - F.col("block") * block + length).alias("end"))
-    spans = spans.unionByName(stored(covered, "spans"))
+    spans.append(stored(covered, "spans"))
+    discard(blocks)
 
-    mixed = firsts.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1").select("shared")
+    mixed = several(firsts, "shared", "mixed")
     work = firsts.join(mixed, "shared").select("place.*").groupBy("doc", "rank").agg(F.collect_list(F.struct("at", "block")).alias("work"))
-    windows = stored(numbered.join(work, ["doc", "rank"]).select("doc", "rank", "text", "work").mapInPandas(_window_rows(length, gram, block), "doc long, rank int, h long, check long, start int"), "windows")
+    windows = stored(numbered.join(work, ["doc", "rank"]).select("doc", "rank", "text", "work").mapInPandas(_window_rows(length, gram, block), "doc long, rank long, h long, check long, start int"), "windows")
+    discard(firsts, mixed)
     place = ["doc", "rank", "start"]
-    firsts = windows.groupBy("h", "check").agg(first(*place), F.count("*").alias("n")).where("n > 1").select("h", "check", "place")
+    firsts = stored(windows.groupBy("h", "check").agg(first(*place), F.count("*").alias("n")).where("n > 1").select("h", "check", "place"), "firsts")
     covered = _not_first(windows, ["h", "check"], place, firsts).select("doc", "rank", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
-    return spans.unionByName(stored(covered, "spans"))
+    spans.append(stored(covered, "spans"))
+    discard(windows, firsts)
+    gathered = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy("doc", "rank").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    out = stored(gathered, "spans")
+    discard(*spans)
+    return out
+
+
+#: Bytes that the first ranks of prefix doubling are sorted by.
+START = 16
+
+
+def _start_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every position with its next START bytes as two numbers, big-endian, so that they sort as the bytes do."""
+    for b in batches:
+        for doc, rank, text in zip(b["doc"], b["rank"], b["text"], strict=True):
+            data = _bytes(text)
+            n = len(data) - START + 1
+            if n > 0:
+                eight = np.zeros(len(data) - 7, np.uint64)
+                for k in range(8):
+                    eight = eight << np.uint64(8) | data[k : len(data) - 7 + k].astype(np.uint64)
+                # Signed numbers sort as unsigned ones do when the top bit is turned.
+                eight = (eight ^ np.uint64(1 << 63)).view(np.int64)
+                yield pd.DataFrame({"doc": doc, "rank": rank, "at": np.arange(n, dtype=np.int32), "a": eight[:n], "b": eight[8 : 8 + n]})
+
+
+def doubled_spans(numbered: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The same spans as ``repeated_spans`` by prefix doubling over all positions.
+
+    Positions are sorted by pairs of ranks, of their own and of the position as many bytes
+    on as the ranks cover, and ranked anew by the pairs' order; positions whose pair is
+    unique leave. Ranks are places in a sort, not hashes. Every round shuffles all
+    positions that are left, so that this needs many times the input on disk.
+    """
+    if length < START:
+        raise ValueError(f"strings have {START} bytes or more")
+
+    def reranked(pairs: DataFrame) -> DataFrame:
+        twice = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").orderBy("a", "b")
+        ranks = stored(twice.select("a", "b", F.monotonically_increasing_id().alias("r")), "ranks")
+        out = stored(pairs.join(ranks, ["a", "b"]).select("doc", "rank", "at", "r"), "ranked")
+        discard(ranks)
+        return out
+
+    now = reranked(numbered.mapInPandas(_start_rows, "doc long, rank long, at int, a long, b long"))
+    covered = START
+    while covered < length:
+        step = min(covered, length - covered)
+        later = now.select("doc", "rank", (F.col("at") - step).alias("at"), F.col("r").alias("b"))
+        last, now = now, reranked(now.withColumnRenamed("r", "a").join(later, ["doc", "rank", "at"]))
+        discard(last)
+        covered += step
+    place = ["doc", "rank", "at"]
+    firsts = stored(now.groupBy("r").agg(F.min(F.struct(*place)).alias("place")), "firsts")
+    spans = _not_first(now, ["r"], place, firsts).groupBy("doc", "rank").agg(F.collect_list(F.struct(F.col("at").alias("begin"), (F.col("at") + length).alias("end"))).alias("spans"))
+    out = stored(spans, "spans")
+    discard(now, firsts)
+    return out
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,16 +259,19 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, doubling: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of ``docs``.
 
+    ``doubling`` ranks all positions by prefix doubling in place of chosen ones, with the
+    same result.
+
     Texts are UTF-8 bytes, null ones empty; a byte goes if a string of ``length`` bytes over
     it also starts earlier: in a smaller id (null comes first) or earlier in the same text.
     Rows that repeat an id come in the order of their texts' hashes; rows equal in both are
-    one document, each with the same result. Other columns are ignored.
+    one document, each with the same result. No rows: no rows. Other columns are ignored.
     """
     numbered = _numbered(docs)
-    spans = repeated_spans(numbered, length).groupBy("doc", "rank").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = doubled_spans(numbered, length) if doubling else repeated_spans(numbered, length)
     joined = numbered.join(spans, ["doc", "rank"], "left").select("doc", "text", "spans")
     out = joined.mapInPandas(_finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     doc_id = F.when(F.col("doc") != F.lit(-(2**63)), F.col("doc"))
