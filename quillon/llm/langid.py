@@ -35,7 +35,7 @@ TINY = 1e-150
 #: Probability of a letter that is no piece; weight added to every piece's count.
 FLOOR, SMOOTH = 1e-8, 0.05
 #: Words remembered by a task.
-MEMORY = 1_000_000
+MEMORY = 250_000
 UNDECIDED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -116,7 +116,7 @@ def forward(trie: Trie, codes: np.ndarray, probability: np.ndarray) -> np.ndarra
     return alpha
 
 
-def by_length(words: list[str], most: int = 4_000_000) -> Iterator[list[int]]:
+def by_length(words: list[str], most: int = 400_000) -> Iterator[list[int]]:
     """Indices of words in groups of like length, of at most so many letters with padding."""
     order, low = sorted(range(len(words)), key=lambda i: len(words[i])), 0
     while low < len(order):
