@@ -12,6 +12,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,8 @@ SHORT, STRETCH = 40, 1 << 14
 TINY = 1e-150
 #: Probability of a letter that is no piece; weight added to every piece's count.
 FLOOR, SMOOTH = 1e-8, 0.05
-#: Words remembered by a task.
-MEMORY = 250_000
+#: Words remembered by a task; texts whose new words it scores together.
+MEMORY, CHUNK = 250_000, 2000
 UNDECIDED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,7 +45,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters of a whole text."""
     found = _WORD.findall(text.lower()) if text else []
-    if all(map(str.isalpha, found)):
+    if not found or "".join(found).isalpha():
         return found
     # Numbers such as fractions and circled digits are word characters, but no letters.
     return [x for w in found for x in ("".join(c if c.isalpha() else " " for c in w).split())]
@@ -88,9 +90,19 @@ class Trie:
 
     def codes(self, parts: list[str]) -> np.ndarray:
         """Letters of each part as columns, padded with a code that no piece has."""
-        out = np.full((max(map(len, parts), default=0), len(parts)), len(self.letters) + 1, np.int32)
-        for j, p in enumerate(parts):
-            out[: len(p), j] = [self.letters.get(c, 0) for c in p]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        out = np.full((lengths.max(initial=0), len(parts)), len(self.letters) + 1, np.int32)
+        said = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin = np.cumsum(lengths) - lengths
+        out[np.arange(len(said)) - np.repeat(begin, lengths), np.repeat(np.arange(len(parts)), lengths)] = self.code_of[said]
+        return out
+
+    @cached_property
+    def code_of(self) -> np.ndarray:
+        """Code of each code point; 0 for letters that no piece has."""
+        out = np.zeros(0x110000, np.int32)
+        for c, code in self.letters.items():
+            out[ord(c)] = code
         return out
 
 
@@ -116,13 +128,14 @@ def forward(trie: Trie, codes: np.ndarray, probability: np.ndarray) -> np.ndarra
     return alpha
 
 
-def by_length(words: list[str], most: int = 400_000) -> Iterator[list[int]]:
-    """Indices of words in groups of like length, of at most so many letters with padding."""
-    order, low = sorted(range(len(words)), key=lambda i: len(words[i])), 0
+def by_length(lengths: np.ndarray, longest: int, most: int = 400_000) -> Iterator[np.ndarray]:
+    """Indices of words of up to ``longest`` letters, in groups of like length and of ``most`` letters with padding."""
+    order = np.argsort(lengths, kind="stable")
+    order = order[: np.searchsorted(lengths[order], longest, "right")]
+    low = 0
     while low < len(order):
-        high = low + 1
-        while high < len(order) and (high + 1 - low) * len(words[order[high]]) <= most and len(words[order[high]]) <= 2 * len(words[order[low]]) + 4:
-            high += 1
+        top = min(2 * int(lengths[order[low]]) + 4, longest)
+        high = min(int(np.searchsorted(lengths[order], top, "right")), low + max(1, most // top))
         yield order[low:high]
         low = high
 
@@ -172,18 +185,16 @@ class Model:
     def score(self, words: list[str]) -> np.ndarray:
         """Log probability of each word, marked at its beginning, in each language."""
         marked = ["▁" + w for w in words]
+        lengths = np.fromiter(map(len, marked), np.int64, len(marked))
         out = np.zeros((len(words), len(self.languages)))
-        short = [i for i, w in enumerate(marked) if len(w) <= SHORT]
-        for group in by_length([marked[i] for i in short]):
-            which = [short[i] for i in group]
-            alpha = forward(self.trie, self.trie.codes([marked[i] for i in which]), self.probability)
-            ends = alpha[[len(marked[i]) for i in which], np.arange(len(which))]
+        for which in by_length(lengths, SHORT):
+            some = [marked[i] for i in which.tolist()]
+            alpha = forward(self.trie, self.trie.codes(some), self.probability)
             with np.errstate(divide="ignore"):
-                out[which] = np.log(ends)
-        for i, w in enumerate(marked):
-            # So do short words of so many unknown letters that their sums vanish.
-            if len(w) > SHORT or not np.isfinite(out[i]).all():
-                out[i] = forward_long(self.trie, w, self.probability)
+                out[which] = np.log(alpha[lengths[which], np.arange(len(which))])
+        # Long words, and short ones of so many unknown letters that their sums vanish.
+        for i in np.flatnonzero((lengths > SHORT) | ~np.isfinite(out).all(axis=1)).tolist():
+            out[i] = forward_long(self.trie, marked[i], self.probability)
         return out
 
 
@@ -202,10 +213,11 @@ def learn(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int
     for k, lang in enumerate(languages):
         known = ["▁" + w for w in sorted(counts[lang])]
         groups = []
-        for group in by_length(known):
-            some = [known[i] for i in group]
+        lengths = np.fromiter(map(len, known), np.int64, len(known))
+        for group in by_length(lengths, LEARNED_LETTERS + 1):
+            some = [known[i] for i in group.tolist()]
             codes = trie.codes(some)
-            groups.append((codes, np.array([len(w) for w in some]), np.array([counts[lang][w[1:]] for w in some], float), list(_edges(trie, codes))))
+            groups.append((codes, lengths[group], np.array([counts[lang][w[1:]] for w in some], float), list(_edges(trie, codes))))
         p = np.where(is_piece, 1.0 / is_piece.sum(), 0.0)[:, None]
         p[2] = FLOOR
         for _ in range(rounds):
@@ -278,25 +290,27 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         languages, letters, step, depth, probability = shared.value
         model, ids, table = Model(languages, Trie(letters, step, {}, depth), probability), {}, None
-        for texts in batches:
-            if table is None or len(ids) > MEMORY:
-                ids, table = {}, np.zeros((0, len(model.languages)))
-            rows, new = [], len(ids)
-            for text in texts:
-                words = words_of(text)
-                rows.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
-            if len(ids) > new:
-                table = np.concatenate([table, model.score(list(ids)[new:])])
+        for batch in batches:
             langs, scores = [], []
-            for row in rows:
-                if not len(row) or not model.languages:
-                    langs.append(UNDECIDED)
-                    scores.append(0.0)
-                    continue
-                total = table[row].sum(axis=0)
-                best = int(total.argmax())
-                langs.append(model.languages[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
+            for low in range(0, len(batch), CHUNK):
+                if table is None or len(ids) > MEMORY:
+                    ids, table = {}, np.zeros((0, len(model.languages)))
+                rows, new = [], len(ids)
+                for text in batch.iloc[low : low + CHUNK]:
+                    words = Counter(words_of(text))
+                    at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+                    rows.append((at, np.fromiter(words.values(), float, len(words))))
+                if len(ids) > new:
+                    table = np.concatenate([table, model.score(list(islice(ids, new, None)))])
+                for at, n in rows:
+                    if not len(at) or not model.languages:
+                        langs.append(UNDECIDED)
+                        scores.append(0.0)
+                        continue
+                    total = n @ table[at]
+                    best = int(total.argmax())
+                    langs.append(model.languages[best])
+                    scores.append(float(1 / np.exp(total - total[best]).sum()))
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     predicted = F.pandas_udf(predict, "lang_pred string, score double")
