@@ -40,8 +40,16 @@ def text_to_bool(s: Column, otherwise: Column) -> Column:
 
 
 def float_to_text(x: Column) -> Column:
-    """A double in plain decimal digits: no exponent, no fraction where it is whole."""
+    """A double in the fewest plain decimal digits that give it back: no exponent, no fraction where it is whole."""
     text = x.cast("string")
+    # Java may print one digit or more too many; then fewer give the double back.
+    long = F.length(F.regexp_replace(text, r"E.*|[-.]|^0\.0*", "")) > 15
+    short = lambda n: F.upper(F.format_string(f"%.{n - 1}e", x))
+    shown = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"E\+?(-?)0*([0-9])", "E$1$2"), r"(\.[0-9]*?)0+E", "$1E"), r"\.E", ".0E")
+    for n in (3, 2, 1):
+        text = F.when((F.abs(x) < 1e-320) & (x != 0) & (short(n).cast("double") == x), shown(short(n))).otherwise(text)
+    fewest = F.when(short(15).cast("double") == x, shown(short(15))).when(short(16).cast("double") == x, shown(short(16))).otherwise(shown(short(17)))
+    text = F.when(long & (F.abs(x) < float("inf")), fewest).otherwise(text)
     mantissa, exponent = F.split(text, "E")[0], F.split(text, "E")[1].cast("int")
     sign = F.when(text.startswith("-"), "-").otherwise("")
     digits = F.regexp_replace(mantissa, r"^-|\.|(?<=\.)0$", "")

@@ -48,12 +48,26 @@ class Frame:
         return replace(self._in_order(orders), sorted=True)
 
     def limit(self, n: int) -> Frame:
-        """The first n rows: of the order if sorted, else of the input."""
+        """The first n rows: of the order if sorted, else of the input.
+
+        Of many files only as many are read, in the order of their paths, as hold n rows;
+        the first few are counted for that.
+        """
         if n > _MOST_ROWS:
             return self
-        first = self if self.sorted or n == 0 else self._in_order([])
+        first = self if self.sorted or n == 0 else replace(self, df=self._first_files(n))._in_order([])
         return replace(first, df=first.df.limit(n))
 
+    def _first_files(self, n: int) -> DataFrame:
+        files = sorted(self.df.inputFiles()) if self.stored_order else []
+        some = 1
+        while some < len(files):
+            part = self.df.where(F.col("_metadata.file_path") <= files[some - 1])
+            if part.limit(n).count() >= n:
+                return part
+            some *= 8
+        return self.df
+
     def project(self, projections: Sequence[Projection]) -> Frame:
         """The named expressions; names must differ."""
         schema = LSchema([LField(p.name, p.expr.typed(), p.expr.nullable) for p in projections])

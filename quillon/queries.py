@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -9,6 +10,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.errors import SourceIOError
 from quillon.plans.types import LSchema
 from quillon.session import Session
 from quillon.sources.csv import read_csv, read_csv_text
@@ -77,10 +79,11 @@ _CSV = "id,name,active,score\n1,\"Doe, Jane\",true,1.5\n2,\"a \"\"b\"\"\",,2\n3,
 def session(spark: SparkSession, sf_dir: str) -> Session:
     """A session over the tables of a folder, with the views that some queries read."""
     s = Session(spark)
-    s.register_folder(sf_dir, TABLES)
+    # embeddings and some time stamps have types that the dialect lacks.
+    s.register_folder(sf_dir, TABLES, leave_out=True)
 
     def view(table: str, **columns):
-        base = read_parquet(s.spark, f"{sf_dir}/{table}.parquet")
+        base = read_parquet(s.spark, f"{sf_dir}/{table}.parquet", leave_out=True)
         df = base.df.withColumns(columns)
         return replace(base, df=df, schema=LSchema.of_spark(df.schema))
 
@@ -94,11 +97,19 @@ def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv_text(Session(spark).spark, _CSV).df
 
 
+def _folder(spark: SparkSession) -> str:
+    """Where a query may write: the cluster's shared folder; a local session has one of its own."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise SourceIOError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+
+
 def _csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts as a CSV folder written by Spark, read back with inferred types and queried."""
     s = session(spark, sf_dir)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillon"
-    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/csv-{uuid.uuid4().hex}"
     s.table("part").df.select("p_partkey", "p_name", "p_size", "p_retailprice").write.option("header", True).csv(path)
     return read_csv(s.spark, path).sql("SELECT p_partkey, p_name, p_size + 1 AS n, p_retailprice FROM part WHERE p_size > 10").df
 

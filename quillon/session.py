@@ -36,10 +36,10 @@ class Session:
             table = Frame.of(table)
         self._tables[name] = (lambda: table) if isinstance(table, Frame) else table
 
-    def register_folder(self, folder: str, names: list[str]) -> None:
-        """Name the Parquet tables ``folder/<name>.parquet``."""
+    def register_folder(self, folder: str, names: list[str], leave_out: bool = False) -> None:
+        """Name the Parquet tables ``folder/<name>.parquet``; ``leave_out`` as for ``read_parquet``."""
         for name in names:
-            self.register(name, lambda path=f"{folder}/{name}.parquet": read_parquet(self.spark, path))
+            self.register(name, lambda path=f"{folder}/{name}.parquet": read_parquet(self.spark, path, leave_out))
 
     def register_csv(self, name: str, path: str, options: CsvOptions = CsvOptions()) -> None:
         self.register(name, lambda: read_csv(self.spark, path, options))

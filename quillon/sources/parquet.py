@@ -7,13 +7,19 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 
 from quillon.errors import translating
+from quillon.functions import lowering
 from quillon.operators.frame import Frame
 from quillon.plans.types import FROM_SPARK
 
 
-def read_parquet(spark: SparkSession, path: str) -> Frame:
-    """A Parquet file or folder. Columns of other types (arrays, decimals) are left out."""
+def read_parquet(spark: SparkSession, path: str, leave_out: bool = False) -> Frame:
+    """A Parquet file or folder.
+
+    A column of a type that the engine does not have (an array, a decimal) is a SchemaError,
+    unless ``leave_out`` asks for the others alone.
+    """
     with translating():
         df = spark.read.parquet(path)
-        known = [f.name for f in df.schema.fields if type(f.dataType) in FROM_SPARK]
-        return replace(Frame.of(df.select(*[f"`{n}`" for n in known])), stored_order=True)
+        if leave_out:
+            df = df.select(*[lowering.name(f.name) for f in df.schema.fields if type(f.dataType) in FROM_SPARK])
+        return replace(Frame.of(df), stored_order=True)

@@ -10,6 +10,7 @@ from quillon.render import render
 from quillon.repl import loop
 from quillon.session import Session
 from quillon.sources.csv import CsvOptions, read_csv, read_csv_text, records_of
+from quillon.sources.parquet import read_parquet
 from quillon.streaming import stream
 
 I, F, S, B = LType.INT64, LType.FLOAT64, LType.UTF8, LType.BOOLEAN
@@ -118,3 +119,53 @@ def test_stream(spark, session, tmp_path):
     assert sorted(r.d for r in spark.sql("SELECT * FROM out").collect()) == [14, 16, 18]
     with pytest.raises(SqlTypeError):
         stream("SELECT a FROM s ORDER BY a", source)
+
+
+def test_lines_are_looked_through(session, tmp_path):
+    def read(data, options=CsvOptions()):
+        (tmp_path / "x.csv").write_bytes(data.encode())
+        return read_csv(session.spark, str(tmp_path / "x.csv"), options)
+
+    # Quotes inside a cell and blank records are taken as the strict reader takes them.
+    assert [tuple(r) for r in read('a,b\nx"1,2"y,3\n').collect()] == [("x1,2y", 3)]
+    assert [r.a for r in read("a\n1\n\n2\n").collect()] == [1, None, 2]
+    assert [tuple(r) for r in read('a,b\r\n"x\ny",1\r\nz,2').collect()] == [("x\ny", 1), ("z", 2)]
+    for data, line in (("a,b\n1,2\n\n3,4\n", 3), ('a,b\n1,2\n"x,y",2\n3\n', 4), ("a,b\n1,2,3\n1\n", 2)):
+        with pytest.raises(CsvError) as error:
+            read(data)
+        assert error.value.line == line
+
+
+def test_record_numbers_over_many_blocks(session, tmp_path):
+    (tmp_path / "b.csv").write_text("a,b\n" + "".join(f"{i},x\n" for i in range(2000)) + "1\n" + "5,y\n" * 2000)
+    before = session.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    session.spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        with pytest.raises(CsvError) as error:
+            read_csv(session.spark, str(tmp_path / "b.csv"))
+        (tmp_path / "c.csv").write_text("a\n" + "1\n" * 3000 + "x\n" * 3000)
+        # The first records decide, wherever Spark begins to read.
+        assert fields(read_csv(session.spark, str(tmp_path / "c.csv"), CsvOptions(infer_rows=3000))) == [("a", I, False)]
+        assert fields(read_csv(session.spark, str(tmp_path / "c.csv"), CsvOptions(infer_rows=3001))) == [("a", S, False)]
+    finally:
+        session.spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert error.value.line == 2002
+
+
+def test_parquet_columns_of_other_types(session, spark, tmp_path):
+    spark.createDataFrame([(1, [2.0])], "a long, b array<double>").write.parquet(str(tmp_path / "p"))
+    with pytest.raises(SchemaError):
+        read_parquet(session.spark, str(tmp_path / "p"))
+    assert read_parquet(session.spark, str(tmp_path / "p"), leave_out=True).schema.names == ["a"]
+
+
+def test_bare_limit_reads_few_files(session, spark, tmp_path):
+    spark.range(0, 9000, 1, 30).selectExpr("id", "id % 7 AS k").write.parquet(str(tmp_path / "p"))
+    frame = read_parquet(session.spark, str(tmp_path / "p"))
+    first = frame.sql("SELECT id FROM t LIMIT 250")
+    assert "file_path" in first.df._jdf.queryExecution().optimizedPlan().toString()
+    every = [r.id for r in frame.df.orderBy("_metadata.file_path", "_metadata.row_index").collect()]
+    assert [r.id for r in first.collect()] == every[:250]
+    assert [r.id for r in frame.sql("SELECT id FROM t WHERE k = 3 LIMIT 60").collect()] == [i for i in every if i % 7 == 3][:60]
+    assert frame.sql("SELECT id FROM t WHERE id < 0 LIMIT 60").collect() == []
+    assert len(frame.sql("SELECT id FROM t LIMIT 8999").collect()) == 8999

@@ -106,3 +106,31 @@ def test_laws(session):
     assert sorted(once.sql("SELECT * FROM t WHERE a > 50").collect()) == sorted(once.collect())
     for n in (0, 1, 199, 200, 5000):
         assert f.sql(f"SELECT a FROM t LIMIT {n}").df.count() == min(n, 200)
+
+
+@pytest.mark.parametrize("text", ["NOT (a > b)", "NOT (a <= b)", "NOT (a = b) OR a < 1.0", "NOT (a >= b AND NOT (b <> a))", "NOT (a <> b OR a < 2.0)", "a > 1.0 OR NOT (NOT (b = a))", "NOT (a IS NULL OR b >= 1.0)", "NOT NOT (1.0 < b) AND (a = a OR b > 2.0)", "a IS NULL OR i > 3", "NOT (i > 3) OR NOT (i = k AND a < 2.0)", "NOT (i <> k)"])
+def test_filters_hold_where_their_condition_is_true(session, text):
+    values = [1.0, 2.5, float("nan"), float("inf"), None]
+    rows = [(a, b, i, (i or 0) % 3) for a, b in itertools.product(values, values) for i in (1, 5, None)]
+    f = frame(session, rows, "a double, b double, i long, k long")
+    said = [r.x for r in f.sql(f"SELECT {text} AS x FROM t").collect()]
+    assert f.sql(f"SELECT a FROM t WHERE {text}").df.count() == said.count(True)
+
+
+def test_long_chains(session):
+    f = frame(session, [(1, True)], "a long, b boolean")
+    assert f.sql("SELECT " + "+".join(["a"] * 3000) + " - a * 2 AS x FROM t").collect()[0].x == 2998
+    with pytest.raises(NumericOverflowError):
+        f.sql("SELECT " + "+".join(["9223372036854775807 / 200 + a"] * 250) + " AS x FROM t").collect()
+    assert f.sql("SELECT a FROM t WHERE " + " AND ".join(["(a = 1 OR b)"] * 1000)).df.count() == 1
+
+
+def test_doubles_print_in_the_fewest_digits(session):
+    import random
+    from decimal import Decimal
+
+    rng = random.Random(12)
+    values = [8.41e21, 2e23, 1e23, 9007199254740993.0, 0.1 + 0.2, 1 / 3, 5e-324, 1.7976931348623157e308, -0.0, 0.0, 2.0**-44, 123456789012345.6, 4.35, 2.2250738585072014e-308]
+    values += [rng.random() * 10 ** rng.randrange(-20, 20) for _ in range(300)] + [float(f"{rng.randrange(1, 10**6)}e{rng.randrange(-25, 25)}") for _ in range(300)]
+    got = [r.s for r in frame(session, [(x,) for x in values], "x double").sql("SELECT CAST(x AS text) AS s FROM t").collect()]
+    assert got == [format(Decimal(repr(x)), "f").removesuffix(".0") for x in values]
