@@ -22,7 +22,7 @@ from quillon.llm.store import discard, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, slots in an output shard on average, documents in a bucket, buckets in a group.
-BLOCK, SHARD_SLOTS, BUCKET_DOCS, GROUP = 64, 1 << 16, 1000, 1000
+BLOCK, SHARD_SLOTS, BUCKET_DOCS, GROUP = 64, 1 << 15, 1000, 1000
 WEIGHTS, MOST, ROUNDS = (5.0, 2.0, 1.0), 3, 16
 #: What tells rows apart: id, source and text, with nulls made values.
 KEY = ("id", "no_id", "origin", "text_hash")
@@ -154,7 +154,9 @@ def counts(goals: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
 
 def slots(goals: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """The mix as slots: (origin, slot, shard, block, kept). Shards are dealt out before their slots are expanded."""
-    dealt = counts(goals, block, seed).repartition("origin", "shard")
+    # A number of partitions, as what is few now is many once it is expanded.
+    parts = int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts(goals, block, seed).repartition(parts, "origin", "shard")
     each = dealt.withColumn("slot", F.explode(F.sequence(F.col("begin_slot"), F.col("begin_slot") + F.col("count") - 1)))
     mapped = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("origin"), F.floor(F.col("slot") / F.col("n_blocks")), F.lit(seed))
     kept = F.when(F.col("slot") == F.col("n_slots") - 1, F.col("kept")).otherwise(F.lit(block))
