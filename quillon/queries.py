@@ -10,10 +10,13 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.errors import SourceIOError
+from quillon.errors import EngineError, SourceIOError
+from quillon.operators.frame import Frame, execute
+from quillon.plans.lexer import Lexer
 from quillon.plans.types import LSchema
+from quillon.render import render
 from quillon.session import Session
-from quillon.sources.csv import read_csv, read_csv_text
+from quillon.sources.csv import CsvOptions, read_csv, read_csv_text
 from quillon.sources.parquet import read_parquet
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -42,6 +45,9 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "filter_boolean": ("SELECT p_partkey FROM part WHERE (p_size > 25) = TRUE AND (p_size > 40) < TRUE", None),
     "filter_and_or_not": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_quantity > 10 AND l_tax = 0.0) OR l_discount >= 0.05", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE NOT (l_quantity > 10 AND l_tax = 0.0) OR l_discount >= 0.05::DOUBLE"),
     "filter_short_circuit": ("SELECT p_partkey FROM part WHERE p_size <> 25 AND 100 / (p_size - 25) > 3", "SELECT p_partkey FROM part WHERE p_size <> 25 AND 100 // NULLIF(p_size - 25, 0) > 3"),
+    "comments": ("SELECT p_partkey -- the key\n  , p_size\tAS \n size -- and its size\nFROM part WHERE p_size > 48 -- large\n;", "SELECT p_partkey, p_size::BIGINT AS size FROM part WHERE p_size > 48"),
+    "filter_or_pushed": ("SELECT o_orderkey FROM orders WHERE NOT (o_custkey > 10 AND o_orderkey <> 7) OR o_custkey = 12", None),
+    "chain_of_many": ("SELECT p_partkey, " + " + ".join(["p_size"] * 150) + " AS s FROM part", "SELECT p_partkey, 150 * p_size::BIGINT AS s FROM part"),
     "null_is": ("SELECT l_orderkey, flag IS NULL AS n, flag IS NOT NULL AS m FROM flags WHERE flag IS NULL", "SELECT l_orderkey, NULLIF(l_returnflag, 'R') IS NULL AS n, NULLIF(l_returnflag, 'R') IS NOT NULL AS m FROM lineitem WHERE NULLIF(l_returnflag, 'R') IS NULL"),
     "null_is_not": ("SELECT l_orderkey, flag FROM flags WHERE flag IS NOT NULL", "SELECT l_orderkey, l_returnflag AS flag FROM lineitem WHERE l_returnflag <> 'R'"),
     "null_not": ("SELECT l_orderkey FROM flags WHERE NOT (flag = 'A')", "SELECT l_orderkey FROM lineitem WHERE NOT (NULLIF(l_returnflag, 'R') = 'A')"),
@@ -56,6 +62,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "cast_utf8_int": ("SELECT CAST(CAST(o_orderkey AS string) AS int) AS i FROM orders", "SELECT o_orderkey AS i FROM orders"),
     "cast_utf8_float": ("SELECT o_orderkey, CAST(CAST(o_custkey AS string) AS float) AS f, CAST('-1.5e3' AS float) AS g FROM orders", "SELECT o_orderkey, o_custkey::DOUBLE AS f, -1500.0::DOUBLE AS g FROM orders"),
     "cast_utf8_bool": ("SELECT p_partkey, CAST(CAST(p_size > 25 AS utf8) AS boolean) AS b FROM part", "SELECT p_partkey, p_size > 25 AS b FROM part"),
+    "cast_float_utf8_digits": ("SELECT p_partkey, CAST(p_retailprice / 3.0 AS utf8) AS s FROM part", "SELECT p_partkey, regexp_replace((p_retailprice / 3.0)::VARCHAR, '\\.0$', '') AS s FROM part"),
     "cast_float_utf8": ("SELECT p_partkey, CAST(p_size * 1.0 AS utf8) AS s FROM part", "SELECT p_partkey, p_size::VARCHAR AS s FROM part"),
     "sort_asc": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50", None),
     "sort_desc": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 50", None),
@@ -114,7 +121,83 @@ def _csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(s.spark, path).sql("SELECT p_partkey, p_name, p_size + 1 AS n, p_retailprice FROM part WHERE p_size > 10").df
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _text(spark: SparkSession, data: str, options: CsvOptions = CsvOptions()) -> Frame:
+    return read_csv_text(Session(spark).spark, data, options)
+
+
+def _fields(spark: SparkSession, data: str, options: CsvOptions = CsvOptions()) -> DataFrame:
+    """The inferred schema of a CSV text, a row for each column."""
+    return _rows(spark, [(i, f.name, str(f.type), f.nullable) for i, f in enumerate(_text(spark, data, options).schema)], "nr int, name string, type string, nullable boolean")
+
+
+def _error(spark: SparkSession, run: Callable[[], object]) -> DataFrame:
+    """Which error a call raises, and its record if it has one."""
+    try:
+        run()
+    except EngineError as error:
+        return _rows(spark, [(type(error).__name__, getattr(error, "line", None))], "error string, line long")
+    return _rows(spark, [("none", None)], "error string, line long")
+
+
+def _ragged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record that a file of the nations has wrong, read by the default reader."""
+    s = session(spark, sf_dir)
+    path = f"{_folder(spark)}/ragged-{uuid.uuid4().hex}"
+    lines = s.spark.sql("SELECT explode(array('a,b', '1,2', '3,4', '5', '6,7')) AS value").coalesce(1)
+    lines.write.text(path)
+    return _error(spark, lambda: read_csv(s.spark, path))
+
+
+def _negative_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zeros of either sign tie in a sort, and stay as they came."""
+    df = Session(spark).spark.createDataFrame([(1, 0.0), (2, -0.0), (3, -1.0), (4, 0.0), (5, -0.0)], "i long, x double").coalesce(1)
+    kept = [r.i for r in Frame.of(df).sql("SELECT i FROM t ORDER BY x").collect()]
+    return _rows(spark, list(enumerate(kept)), "nr int, i long")
+
+
+def _sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that the text sink prints of the regions."""
+    said = render(session(spark, sf_dir).query("SELECT r_regionkey AS k, r_name AS name, r_regionkey > 1 AS b FROM region ORDER BY r_regionkey"))
+    return _rows(spark, list(enumerate(said.splitlines())), "nr int, line string")
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of a text with their kinds, what they are called in messages, and their spans."""
+    tokens = Lexer("SELECT a -- b\n, 'é', 1.5 FROM t WHERE x != 2").tokenize()
+    return _rows(spark, [(i, t.kind, str(t).replace("'", "`"), str(t.span)) for i, t in enumerate(tokens)], "nr int, kind string, said string, span string")
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that the caller holds, whatever name the text gives it."""
+    df = Session(spark).spark.createDataFrame([(1, "x", 2.5), (2, None, None), (3, "y", -1.0)], "a int, b string, c double")
+    return execute("SELECT a * 2 AS d, b IS NULL AS n, c FROM any_name WHERE a < 3", df)
+
+
+def _values(columns: str, *rows: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})"
+
+
+_SCHEMA, _ERROR = "nr, name, type, nullable", "error, line"
 _EXTRA = {
+    "csv_has_header": (lambda spark, _: _text(spark, "1,x\n2,y\n", CsvOptions(has_header=False)).df, _values("col_0, col_1", "(1::BIGINT, 'x')", "(2, 'y')")),
+    "csv_delimiter_null_literal": (lambda spark, _: _text(spark, "id;tag\n1;NA\n2;\n3;x;y\n".replace(";y", ""), CsvOptions(delimiter=";", null_literal="NA")).df, _values("id, tag", "(1::BIGINT, NULL)", "(2, '')", "(3, 'x')")),
+    "csv_infer_rows": (lambda spark, _: _fields(spark, "a,b\n1,1\n2,x\n3,\n", CsvOptions(infer_rows=2)), _values(_SCHEMA, "(0::INTEGER, 'a', 'Int64', FALSE)", "(1, 'b', 'Utf8', TRUE)")),
+    "csv_infer_rows_wrong": (lambda spark, _: _error(spark, lambda: _text(spark, "a\n1\n2\nx\n", CsvOptions(infer_rows=2)).collect()), _values(_ERROR, "('CsvError', 4::BIGINT)")),
+    "csv_nullability": (lambda spark, _: _fields(spark, "a,b,c,d\n1,true,,0.5\n2,,,1\n"), _values(_SCHEMA, "(0::INTEGER, 'a', 'Int64', FALSE)", "(1, 'b', 'Boolean', TRUE)", "(2, 'c', 'Utf8', TRUE)", "(3, 'd', 'Float64', FALSE)")),
+    "csv_ragged": (_ragged_file, _values(_ERROR, "('CsvError', 4::BIGINT)")),
+    "csv_empty": (lambda spark, _: _fields(spark, ""), _values(_SCHEMA, "(0::INTEGER, 'a', 'b', TRUE)") + " WHERE FALSE"),
+    "csv_header_only": (lambda spark, _: _fields(spark, "id,name\n"), _values(_SCHEMA, "(0::INTEGER, 'id', 'Utf8', TRUE)", "(1, 'name', 'Utf8', TRUE)")),
+    "csv_duplicate_header": (lambda spark, _: _error(spark, lambda: _text(spark, "a,a\n1,2\n")), _values(_ERROR, "('SchemaError', NULL::BIGINT)")),
+    "csv_tokenizer": (lambda spark, _: _text(spark, 'a,b\r\nx"1,2"y,"p\nq"\r\n"",z').df, _values("a, b", "('x1,2y', 'p' || chr(10) || 'q')", "(NULL, 'z')")),
+    "memory_source": (_memory, _values("d, n, c", "(2::BIGINT, FALSE, 2.5::DOUBLE)", "(4, TRUE, NULL)")),
+    "text_sink": (_sink, _values("nr, line", "(0::INTEGER, '| k | name        | b     |')", "(1, '|---|-------------|-------|')", "(2, '| 0 | AFRICA      | false |')", "(3, '| 1 | AMERICA     | false |')", "(4, '| 2 | ASIA        | true  |')", "(5, '| 3 | EUROPE      | true  |')", "(6, '| 4 | MIDDLE EAST | true  |')")),
+    "sort_negative_zero": (_negative_zero, _values("nr, i", "(0::INTEGER, 3::BIGINT)", "(1, 1)", "(2, 2)", "(3, 4)", "(4, 5)")),
+    "reserved_words": (lambda spark, sf_dir: _error(spark, lambda: session(spark, sf_dir).sql("SELECT n_nationkey AS having FROM nation")), _values(_ERROR, "('SqlSyntaxError', NULL::BIGINT)")),
+    "token_printing": (_tokens, _values("nr, kind, said, span", "(0::INTEGER, 'keyword', 'SELECT', '0..6')", "(1, 'word', 'identifier `a`', '7..8')", "(2, 'symbol', ',', '14..15')", "(3, 'string', 'string `é`', '16..20')", "(4, 'symbol', ',', '20..21')", "(5, 'number', '1.5', '22..25')", "(6, 'keyword', 'FROM', '26..30')", "(7, 'word', 'identifier `t`', '31..32')", "(8, 'keyword', 'WHERE', '33..38')", "(9, 'word', 'identifier `x`', '39..40')", "(10, 'symbol', '<>', '41..43')", "(11, 'number', '2', '44..45')", "(12, 'end', 'end of input', '45..45')")),
     "csv_scan": (_csv_scan, "SELECT * FROM (VALUES (1::BIGINT, 'Doe, Jane', TRUE, 1.5::DOUBLE), (2, 'a \"b\"', NULL, 2.0), (3, NULL, FALSE, '-inf'::DOUBLE)) AS t(id, name, active, score)"),
     "csv_file": (_csv_file, "SELECT p_partkey, p_name, p_size::BIGINT + 1 AS n, p_retailprice FROM part WHERE p_size > 10"),
 }
