@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, html, jaccard, langid, mixing, pii, search, secrets, substrings, toxicity
+from quillon.llm.oracles import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,19 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
-_SEARCH = """
-WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS q
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
-), scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
-), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
-)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
-"""
-
-#: The others learn, iterate, walk markup or return code-point spans; they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_search": _SEARCH}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

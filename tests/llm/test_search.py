@@ -61,11 +61,3 @@ def test_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert search.search_digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-
-
-def test_oracle(spark):
-    from oracle import same
-
-    from quillon.llm import queries
-
-    same(spark, "/root/testdata/sf0.001", queries.QUERIES["op2_search"], queries.ORACLE_SQL["op2_search"])
