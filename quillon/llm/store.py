@@ -10,8 +10,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Makes Spark delete a query's shuffle files when the query ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark deletes the query's shuffle files when it ends, and Python workers hold few rows at a time.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,21 +26,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: computed once, lineage cut."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/quillon-{name}-{uuid.uuid4().hex}"
-    with _shuffles_cleaned(spark):
-        # A plan made under the setting: its shuffle files go when the table stands.
+    with _settings(spark):
+        # A plan made under the settings.
         df.select("*").write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out, lambda _, key=id(out): _PATHS.pop(key, None)), path)
