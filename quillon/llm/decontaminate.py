@@ -89,23 +89,22 @@ class _Pieces(dict):
     def __missing__(self, t: str) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        low = t.lower()
+        low, first = t.lower(), t[0]
         h = xxhash.xxh3_64_intdigest(low) & ~15
-        capital = t[0].isupper() and t[1:].islower()
-        if t in _START:
+        if first.isalpha():
+            capital = first.isupper() and t[1:].islower()
+            if low in UNITS:
+                kind = _UNIT_CAPITAL if capital else _UNIT
+            else:
+                kind = _CAPITAL if capital else _WORD
+        elif t in _START:
             kind = _STOPPED
         elif t in _BREAK:
             kind = _PARTED
         elif t in SIGNS:
             kind = _SIGN
-        elif _NUMBER.match(t):
-            kind = _NUM
-        elif low in UNITS:
-            kind = _UNIT_CAPITAL if capital else _UNIT
-        elif capital:
-            kind = _CAPITAL
         else:
-            kind = _WORD
+            kind = _NUM if _NUMBER.match(t) else _WORD
         h = self[t] = h | kind
         return h
 
