@@ -32,6 +32,12 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def _chosen(hasher: Hasher, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams, and the chosen positions."""
+    h = hasher.grams(gram)
+    return h, chosen(h, minima(h, width), width)
+
+
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Chosen positions with windows: (gram hash, context hash, position, first and last window).
 
@@ -43,8 +49,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         return none
     width, windows = length - gram + 1, len(data) - length + 1
     hasher = Hasher(data)
-    h = hasher.grams(gram)
-    at = chosen(h, minima(h, width), width)
+    h, at = _chosen(hasher, width, gram)
     value = h[at] >> np.uint64(32)
     first, last = np.maximum(at - width + 1, 0), np.minimum(at, windows - 1)
     for k in range(1, len(at)):
@@ -77,6 +82,21 @@ def _each(function: Callable[[np.ndarray, list | None], tuple], columns: list[st
     return make
 
 
+def _gram_rows(length: int, gram: int) -> Callable:
+    """The gram hashes of chosen positions alone."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [np.empty(0, np.uint64)]
+            for data in map(_bytes, b["text"]):
+                if len(data) >= length:
+                    h, at = _chosen(Hasher(data), length - gram + 1, gram)
+                    found.append(h[at])
+            yield pd.DataFrame({"h": np.concatenate(found).view(np.int64)})
+
+    return make
+
+
 def _anchor_rows(length: int, gram: int) -> Callable:
     return _each(lambda data, doc, work: anchors(data, length, gram), ["h", "context", "at", "first", "last"])
 
@@ -147,7 +167,7 @@ def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM,
     first = lambda *c: F.min(F.struct(*c)).alias("place")
     several = lambda rows, key, name: stored(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), name)
     made = numbered.mapInPandas(_anchor_rows(length, gram), "doc long, rank long, h long, context long, at int, first int, last int")
-    again = several(made, "h", "again")
+    again = several(numbered.select("text").mapInPandas(_gram_rows(length, gram), "h long"), "h", "again")
     anchored = stored(made.join(again, "h"), "anchors")
     discard(again)
 
