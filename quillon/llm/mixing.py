@@ -26,6 +26,13 @@ BLOCK, SHARD_SLOTS, BUCKET_DOCS, GROUP = 64, 1 << 15, 1000, 1000
 WEIGHTS, MOST, ROUNDS = (5.0, 2.0, 1.0), 3, 16
 #: What tells rows apart: id, source and text, with nulls made values.
 KEY = ("id", "no_id", "origin", "text_hash")
+#: Modulus and multiplier of the hashes behind permutations; products of two residues fit in a long.
+PRIME, FACTOR = (1 << 31) - 1, 48271
+
+
+def digest(text: Column) -> Column:
+    """The first 60 bits of the MD5 of a text, as SQL elsewhere computes them too."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def word_count() -> Column:
@@ -35,7 +42,7 @@ def word_count() -> Column:
 
 def _key() -> list[Column]:
     id_ = F.col("doc_id").cast("string")
-    return [F.coalesce(id_, F.lit("")), id_.isNull(), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), F.xxhash64("text")]
+    return [F.coalesce(id_, F.lit("")), id_.isNull(), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), F.coalesce(digest(F.col("text")), F.lit(0))]
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -67,22 +74,30 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return level.select("origin", "source", "source_size", "n_docs", "weight", target.alias("target"))
 
 
-def permuted(index: Column, n: Column, *salt: Column, inverse: bool = False) -> Column:
+def permuted(index: Column, n: Column, salt: Column, inverse: bool = False) -> Column:
     """A pseudorandom permutation of 0 .. n - 1, by swap-or-not rounds, or its inverse.
 
     Each round reflects an index at a keyed point or leaves it, as a bit of the hash of the
-    unordered pair decides, so each round is its own inverse and every n is allowed.
+    larger of the pair decides, so each round is its own inverse and every n is allowed.
+    Keys and hashes are linear modulo PRIME, with multipliers that the salt, a number of 60 bits, gives.
     """
 
     def round_(x: Column, r: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(r, *salt), n) - x, n)
-        swap = F.pmod(F.xxhash64(F.greatest(x, mirror), r, *salt), F.lit(2)) == 1
-        return F.when(swap, mirror).otherwise(x)
+        a, b = (salt % PRIME * (FACTOR + r) + r * r) % PRIME + 1, (F.shiftright(salt, 30) % PRIME * (FACTOR - r) + r) % PRIME
+        mirror = F.pmod((a * PRIME + b) % n - x, n)
+        larger = F.greatest(x, mirror)
+        bit = F.floor((larger % PRIME * a % PRIME + F.shiftright(larger, 31) * FACTOR % PRIME + b) % PRIME * FACTOR % PRIME / F.lit(1 << 16)) % 2
+        return F.when(bit == 1, mirror).otherwise(x)
 
-    rounds = F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if inverse else F.sequence(F.lit(1), F.lit(ROUNDS))
+    rounds = F.sequence(F.lit(ROUNDS).cast("long"), F.lit(1).cast("long"), F.lit(-1).cast("long")) if inverse else F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long"))
     return F.aggregate(rounds, index.cast("long"), round_)
 
 
+def salted(origin: Column, turn: Column, seed: int) -> Column:
+    """The salt of a source's permutation in one pass."""
+    return digest(F.concat_ws(":", origin, turn.cast("string"), F.lit(str(seed))))
+
+
 def blocks(sized: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
     """The pieces of documents that make up each source's blocks: (origin, block, KEY, begin, first, words).
 
@@ -91,14 +106,15 @@ def blocks(sized: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
     buckets, and over the groups, so that no window holds a whole source.
     """
     keyed = sized.where("size > 0").join(goals.select("origin", "n_docs"), "origin")
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("id", "text_hash"), F.ceil(F.col("n_docs") / BUCKET_DOCS)))
+    keyed = keyed.withColumn("place", digest(F.concat_ws(":", "id", F.col("text_hash").cast("string"))))
+    keyed = keyed.withColumn("bucket", F.col("place") % F.ceil(F.col("n_docs") / BUCKET_DOCS))
     totals = keyed.groupBy("origin", "bucket").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("bucket") / GROUP))
     groups = totals.groupBy("origin", "group").agg(F.sum("words").alias("words"))
     sum_before = lambda by, order: F.coalesce(F.sum("words").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     groups = groups.select("origin", "group", sum_before(["origin"], "group").alias("start"))
     offsets = totals.withColumn("before", sum_before(["origin", "group"], "bucket")).join(groups, ["origin", "group"])
     offsets = offsets.select("origin", "bucket", (F.col("start") + F.col("before")).alias("offset"))
-    within = W.partitionBy("origin", "bucket").orderBy("no_id", "id", "text_hash").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("origin", "bucket").orderBy("place", "no_id", "id", "text_hash").rowsBetween(W.unboundedPreceding, -1)
     local = keyed.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = local.join(offsets, ["origin", "bucket"]).select(*KEY, "size", (F.col("offset") + F.col("local")).alias("at"))
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
@@ -117,7 +133,8 @@ def passes(goals: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     own = goals.where("source_size > 0 and round(target) > 0").select("origin", F.ceil(F.col("source_size") / block).alias("n_blocks"), "source_size", F.round("target").cast("long").alias("want"))
     own = own.withColumns({"whole": F.floor(F.col("want") / F.col("source_size")), "lacks": F.col("n_blocks") * block - F.col("source_size")})
     own = own.withColumn("rest", F.col("want") - F.col("whole") * F.col("source_size"))
-    own = own.withColumn("short_at", permuted(F.col("n_blocks") - 1, F.col("n_blocks"), F.col("origin"), F.col("whole"), F.lit(seed), inverse=True))
+    own = own.withColumn("salt", salted(F.col("origin"), F.col("whole"), seed))
+    own = own.withColumn("short_at", permuted(F.col("n_blocks") - 1, F.col("n_blocks"), F.col("salt"), inverse=True))
     most = F.ceil(F.col("rest") / block)
     lost = F.when(F.col("short_at") < most, F.col("lacks")).otherwise(0)
     some = F.ceil((F.col("rest") + lost) / block)
@@ -158,7 +175,8 @@ def slots(goals: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     parts = int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = counts(goals, block, seed).repartition(parts, "origin", "shard")
     each = dealt.withColumn("slot", F.explode(F.sequence(F.col("begin_slot"), F.col("begin_slot") + F.col("count") - 1)))
-    mapped = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("origin"), F.floor(F.col("slot") / F.col("n_blocks")), F.lit(seed))
+    each = each.withColumn("salt", salted(F.col("origin"), F.floor(F.col("slot") / F.col("n_blocks")), seed))
+    mapped = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("salt"))
     kept = F.when(F.col("slot") == F.col("n_slots") - 1, F.col("kept")).otherwise(F.lit(block))
     return each.select("origin", "slot", "shard", mapped.alias("block"), kept.alias("kept"))
 

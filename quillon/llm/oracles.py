@@ -124,5 +124,64 @@ SECRETS = _digest(
     3,
 )
 
-#: The others learn, walk markup, chain windows or draw by hashes; they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_substrings": SUBSTRINGS, "op2_search": SEARCH, "op3_jaccard": JACCARD, "op5_pii": PII, "op7_secrets": SECRETS}
+
+
+def _rounds(inverse: bool, table: str, columns: str) -> str:
+    """Swap-or-not rounds over (x, n, salt) of a table, one common table expression for each."""
+    out, before = [], table
+    for k, r in enumerate(range(16, 0, -1) if inverse else range(1, 17)):
+        a, b = f"((salt % 2147483647 * (48271 + {r}) + {r * r}) % 2147483647 + 1)", f"((salt // 1073741824 % 2147483647 * (48271 - {r}) + {r}) % 2147483647)"
+        bit = f"((y % 2147483647 * {a} % 2147483647 + y // 2147483648 * 48271 % 2147483647 + {b}) % 2147483647 * 48271 % 2147483647 // 65536 % 2)"
+        name = f"{table}_{k}"
+        out.append(f"{name} AS (SELECT {columns}, n, salt, CASE WHEN {bit} = 1 THEN m ELSE x END AS x FROM (SELECT *, greatest(x, m) AS y FROM (SELECT *, ((({a} * 2147483647 + {b}) % n - x) % n + n) % n AS m FROM {before})))")
+        before = name
+    return ", ".join(out)
+
+
+def _digest60(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+MIXING = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), '') AS id, doc_id IS NULL AS no_id, coalesce('=' || source, '') AS origin, coalesce({_digest60("text")}, 0) AS text_hash
+  FROM documents
+), g0 AS (
+  SELECT origin, source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY origin, source
+), g1 AS (
+  SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 3 * source_size AS cap FROM g0
+), g2 AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM g1
+), g AS (
+  SELECT *, least(cap::DOUBLE, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight, cap::DOUBLE)) AS target FROM g2
+), w AS (
+  SELECT *, want - whole * source_size AS rest FROM (
+    SELECT origin, source_size, (source_size + 63) // 64 AS n, CAST(round(target) AS BIGINT) AS want, CAST(round(target) AS BIGINT) // source_size AS whole FROM g WHERE source_size > 0 AND round(target) > 0)
+), p AS (
+  SELECT origin, n * 64 - source_size AS lacks, rest, whole, n, {_digest60("origin || ':' || whole || ':0'")} AS salt, n - 1 AS x FROM w
+), {_rounds(True, "p", "origin, lacks, rest, whole")}, k AS (
+  SELECT *, (rest + CASE WHEN x < (rest + 63) // 64 THEN lacks ELSE 0 END + 63) // 64 AS part FROM p_15
+), c AS (
+  SELECT origin, n, whole * n + part AS n_slots,
+    CASE WHEN rest > 0 THEN (CASE WHEN x = part - 1 THEN 64 - lacks ELSE 64 END) - (part * 64 - CASE WHEN x < part THEN lacks ELSE 0 END - rest) ELSE 64 END AS kept FROM k
+), s0 AS (
+  SELECT origin, n, n_slots, kept, unnest(range(n_slots)) AS slot FROM c
+), s AS (
+  SELECT origin, CASE WHEN slot = n_slots - 1 THEN kept ELSE 64 END AS kept, n, {_digest60("origin || ':' || slot // n || ':0'")} AS salt, slot % n AS x FROM s0
+), {_rounds(False, "s", "origin, kept")}, o AS (
+  SELECT d.*, {_digest60("id || ':' || text_hash")} AS place, (n_docs + 999) // 1000 AS buckets, g.source_size, g.target FROM d JOIN g USING (origin)
+), a AS (
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY origin ORDER BY place % buckets, place, no_id, id, text_hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_ FROM o WHERE size > 0
+), b AS (
+  SELECT origin, id, no_id, text_hash, at_, size, unnest(range(at_ // 64, (at_ + size - 1) // 64 + 1)) AS block FROM a
+), t AS (
+  SELECT b.origin, b.id, b.no_id, b.text_hash, sum(greatest(0, least(least(at_ + size, (block + 1) * 64) - greatest(at_, block * 64), kept - (greatest(at_, block * 64) - block * 64)))) AS words
+  FROM b JOIN s_15 AS s ON s.origin = b.origin AND s.x = b.block GROUP BY ALL
+)
+SELECT doc_id, size, source_size, target, CAST(coalesce(words, 0) AS BIGINT) AS taken
+FROM o LEFT JOIN t USING (origin, id, no_id, text_hash)
+"""
+
+#: The others learn, walk markup or chain windows; they are tested against plain versions and held-out rows.
+ORACLE_SQL: dict[str, str] = {"op1_substrings": SUBSTRINGS, "op2_search": SEARCH, "op3_jaccard": JACCARD, "op5_pii": PII, "op7_secrets": SECRETS, "op9_mixing": MIXING}
