@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.names import fresh
+from quillon.llm.store import stored
 from quillon.llm.words import MEMORY, mixed
 
 #: Tokens in a window (short items have shorter ones), and the share of an item's tokens that a leak's windows cover.
@@ -385,7 +387,19 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = WINDOW, share: float
     return best.select("doc_id", "item_id", "best.windows", "best.item_windows", "exact")
 
 
+#: Leaked rows up to which their keys are broadcast (8 bytes each); beyond, they meet by a shuffle.
+FEW_LEAKS = 1 << 17
+
+
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item; null ids stay."""
-    leaked = leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")
+    """``docs`` without the rows whose text contains a benchmark item, whatever their id.
+
+    Rows without a text stay; other columns pass through, whatever their names. No rows: no
+    rows; without items every row stays.
+    """
+    (key,) = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64(docs["doc_id"], docs["text"]))
+    found = leaks(keyed.select(F.col(key).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(key)).distinct()
+    leaked = stored(found, "leaked")
+    few = leaked.count() <= FEW_LEAKS
+    return keyed.join(F.broadcast(leaked) if few else leaked, key, "left_anti").drop(key)

@@ -78,3 +78,13 @@ def test_copies_in_other_cases_and_with_other_parameters(spark):
 def test_very_long_texts(spark):
     docs = [(1, FILL * 4000 + ITEM + FILL * 4000, 0), (2, "x" * 300_000, 0), (3, "5 km " * 40_000, 0)]
     assert set(found(spark, docs, [(0, ITEM)])) == {(1, 0)}
+
+
+def test_removal_by_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, FILL + ITEM, 1), (1, FILL, 2), (None, ITEM, 3), (None, None, 4), (2, "", 5)], "doc_id long, text string, row_key int")
+    items = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+    for few in (d.FEW_LEAKS, 0):
+        monkeypatch.setattr(d, "FEW_LEAKS", few)
+        got = d.decontaminated(docs, items)
+        assert got.columns == docs.columns and sorted(r.row_key for r in got.collect()) == [2, 4, 5]
+    assert d.decontaminated(docs, items.where("false")).count() == 5 and d.decontaminated(docs.where("false"), items).count() == 0
