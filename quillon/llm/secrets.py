@@ -16,7 +16,7 @@ from itertools import product
 from re import _constants as sre
 from re import _parser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.names import fresh
@@ -136,10 +136,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def trigram_index(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """Posting lists (trigram, id, no_id, text_hash): the documents (doc_id, text) that hold each of the wanted trigrams."""
     low = _keyed(docs).withColumn("text", F.lower("text"))
-    held = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(t)) for t in wanted]))
+    held = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(t)) for t in wanted]).cast("array<string>"))
     return low.select(*KEY, F.explode(held).alias("trigram"))
 
 
+def _constant(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table of literals."""
+    structs = [F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, no_id, text_hash, rules): the documents in the intersections of posting lists that the rules' queries ask for.
 
@@ -147,12 +153,13 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     lists as there are; a clause holds for the union of its sets' intersections and a rule
     for the intersection of its clauses. The counts are combined before they are shuffled.
     """
+    if not any(trigram_query(r.pattern) for r in rules):
+        return index.select(*KEY, F.array().cast("array<string>").alias("rules")).where("false")
     asked = [(r.name, c, n, len(all_), t) for r in rules for c, clause in enumerate(trigram_query(r.pattern)) for n, all_ in enumerate(sorted(clause, key=sorted)) for t in sorted(all_)]
     clauses = [(r.name, len(q)) for r in rules if (q := trigram_query(r.pattern))]
-    spark = index.sparkSession
     # Both tables follow from the rules alone.
-    lists = F.broadcast(spark.createDataFrame(asked, "rule string, clause int, choice int, need int, trigram string"))
-    whole = F.broadcast(spark.createDataFrame(clauses, "rule string, clauses int"))
+    lists = F.broadcast(_constant(index.sparkSession, asked, ["rule", "clause", "choice", "need", "trigram"]))
+    whole = F.broadcast(_constant(index.sparkSession, clauses, ["rule", "clauses"]))
     met = index.join(lists, "trigram").groupBy(*KEY, "rule", "clause", "choice", "need").agg(F.size(F.collect_set("trigram")).alias("held"))
     holding = met.where("held = need").groupBy(*KEY, "rule").agg(F.count_distinct("clause").alias("clauses"))
     return holding.join(whole, ["rule", "clauses"]).groupBy(*KEY).agg(F.collect_set("rule").alias("rules"))
@@ -182,7 +189,7 @@ def indexed_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     named = F.broadcast(found) if found.count() <= FEW_CANDIDATES else found
     both = _keyed(docs).join(named, list(KEY))
     spans = [_verified(F.col("text"), rank, rule, F.array_contains("rules", rule.name)) for rank, rule in enumerate(rules) if trigram_query(rule.pattern)]
-    verified = both.select(*KEY, F.concat(*spans).alias("spans")).where(F.size("spans") > 0)
+    verified = both.select(*KEY, F.concat(F.array().cast(SPANS), *spans).alias("spans")).where(F.size("spans") > 0)
     out = stored(verified.groupBy(*KEY).agg(F.first("spans").alias("spans")), "spans")
     discard(found)
     return out

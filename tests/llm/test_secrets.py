@@ -83,3 +83,11 @@ def test_long_runs_take_little_time(spark):
     got = {r.doc_id: r for r in secrets.secrets_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert time.monotonic() - began < 60
     assert got[0].spans == "" and got[3].n_hex == 1 and got[4].n_assign == 30_000
+
+
+def test_rules_without_trigrams_scan_fully(spark):
+    rules = (secrets.Rule("digits", "[0-9]+", 4),)
+    docs = spark.createDataFrame([(1, "a 12345 b 12"), (2, None)], "doc_id long, text string")
+    assert secrets.trigrams(rules) == []
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.secrets] for r in secrets.find_secrets(docs, rules).collect()}
+    assert got == {1: [("digits", 2, 7)], 2: []}
