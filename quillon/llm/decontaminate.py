@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.lean import lean
 from quillon.llm.names import fresh
 from quillon.llm.store import stored
 from quillon.llm.words import MEMORY, mixed
@@ -281,7 +282,7 @@ def item_names(items: DataFrame) -> np.ndarray:
             some = texts.capital & ~texts.start | small
             yield pd.DataFrame({"h": mixed(texts.hash[some]).view(np.int64), "small": small[some]})
 
-    words = items.where("text is not null").select("text").mapInPandas(make, "h long, small boolean")
+    words = items.where("text is not null").select("text").mapInPandas(lean(make), "h long, small boolean")
     return _bits(words.groupBy("h").agg(F.bool_or("small").alias("small")).where("not small"))
 
 
@@ -289,7 +290,7 @@ def item_windows(items: DataFrame, length: int = WINDOW, names: np.ndarray | Non
     """Windows of the benchmark items: (item_id, h, stream, at, n, w, slots, tokens)."""
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     names = item_names(items) if names is None else names
-    return rows.mapInPandas(_item_windows(names, length), _WINDOW_SCHEMA).drop("text_key", "place").withColumnRenamed("id", "item_id")
+    return rows.mapInPandas(lean(_item_windows(names, length)), _WINDOW_SCHEMA).drop("text_key", "place").withColumnRenamed("id", "item_id")
 
 
 def _fits(mapping: tuple[dict, dict], a: list[str], b: list[str]) -> bool:
@@ -378,10 +379,10 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = WINDOW, share: float
     known = item_windows(items, length, names).withColumnsRenamed({"slots": "item_slots", "at": "item_at", "n": "item_n", "tokens": "item_tokens"})
     lengths = sorted((r.stream, r.w) for r in known.select("stream", "w").distinct().collect())
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    found = rows.mapInPandas(_document_windows(names, _bits(known), lengths), _WINDOW_SCHEMA).withColumnRenamed("id", "doc_id").drop("n")
+    found = rows.mapInPandas(lean(_document_windows(names, _bits(known), lengths)), _WINDOW_SCHEMA).withColumnRenamed("id", "doc_id").drop("n")
     met = found.join(known, ["h", "w", "stream"]).where("tokens = item_tokens")
     hits = met.groupBy("doc_id", "text_key", "item_id").agg(F.collect_set(F.struct("stream", "at", "item_at", "item_n", "w", "place", "slots", "item_slots")).alias("hits"))
-    good = hits.select("doc_id", "item_id", "hits").mapInPandas(_judged(share), "doc_id long, item_id long, windows long, item_windows int, exact boolean")
+    good = hits.select("doc_id", "item_id", "hits").mapInPandas(lean(_judged(share)), "doc_id long, item_id long, windows long, item_windows int, exact boolean")
     most = F.max_by(F.struct("windows", "item_windows"), F.col("windows") / F.col("item_windows"))
     best = good.groupBy("doc_id", "item_id").agg(most.alias("best"), F.bool_or("exact").alias("exact"))
     return best.select("doc_id", "item_id", "best.windows", "best.item_windows", "exact")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.llm.lean import lean, released
 from quillon.llm.names import fresh
 from quillon.llm.store import discard, stored
 
@@ -37,7 +38,7 @@ TINY = 1e-150
 #: Probability of a letter that is no piece; weight added to every piece's count.
 FLOOR, SMOOTH = 1e-8, 0.05
 #: Words remembered by a task; texts whose new words it scores together.
-MEMORY, CHUNK = 250_000, 2000
+MEMORY, CHUNK = 150_000, 1000
 UNDECIDED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -261,7 +262,7 @@ def training_words(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             by = Counter((lang, w) for lang, text in zip(batch["lang"], batch["text"], strict=True) for w in words_of(text) if len(w) <= LEARNED_LETTERS)
             yield pd.DataFrame([(lang, w, n) for (lang, w), n in by.items()], columns=["lang", "word", "n"])
 
-    return rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(lean(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary: str = VOCABULARY) -> Model:
@@ -312,6 +313,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     langs.append(model.languages[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        ids, table = {}, None
+        released()
 
     predicted = F.pandas_udf(predict, "lang_pred string, score double")
     rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.llm.lean import lean
 from quillon.llm.names import fresh
 from quillon.llm.store import discard, stored
 
@@ -166,7 +167,7 @@ def counts(goals: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """
     per = stored(passes(goals, block, seed), "passes")
     slots = per.agg(F.sum("n_slots")).first()[0] or 0
-    return per.mapInPandas(_drawn(max(1, -(-slots // SHARD_SLOTS)), seed), "origin string, n_blocks long, n_slots long, kept long, shard long, begin_slot long, count long")
+    return per.mapInPandas(lean(_drawn(max(1, -(-slots // SHARD_SLOTS)), seed)), "origin string, n_blocks long, n_slots long, kept long, shard long, begin_slot long, count long")
 
 
 def slots(goals: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:

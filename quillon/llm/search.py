@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.llm.lean import lean
 from quillon.llm.store import stored
 
 #: Vectors in a shard at most (on average) and, while there are fewer shards than cores, at least; sampled for first thresholds; queries in a block of these.
@@ -144,7 +145,7 @@ def _met(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     columns = ["dim", "shard", "query", "vec_id", "q", "known"]
     vectors = rows.withColumns({"query": F.lit(False), "known": F.lit(None).cast("double")}).select(columns)
     both = vectors.unionByName(queries.withColumn("query", F.lit(True)).select(columns))
-    return both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query").mapInPandas(_stream(k), _FOUND)
+    return both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query").mapInPandas(lean(_stream(k)), _FOUND)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:

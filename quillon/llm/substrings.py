@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.anchors import Hasher, chosen, finish, minima
+from quillon.llm.lean import lean
 from quillon.llm.store import discard, stored
 
 #: Bytes of a repeated string; of the grams that choose positions; windows in a block.
@@ -166,8 +167,8 @@ def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM,
     place = ["doc", "rank", "at"]
     first = lambda *c: F.min(F.struct(*c)).alias("place")
     several = lambda rows, key, name: stored(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), name)
-    made = numbered.mapInPandas(_anchor_rows(length, gram), "doc long, rank long, h long, context long, at int, first int, last int")
-    again = several(numbered.select("text").mapInPandas(_gram_rows(length, gram), "h long"), "h", "again")
+    made = numbered.mapInPandas(lean(_anchor_rows(length, gram)), "doc long, rank long, h long, context long, at int, first int, last int")
+    again = several(numbered.select("text").mapInPandas(lean(_gram_rows(length, gram)), "h long"), "h", "again")
     anchored = stored(made.join(again, "h"), "anchors")
     discard(again)
 
@@ -178,7 +179,7 @@ def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     mixed = several(firsts, "h", "mixed")
     work = firsts.join(mixed, "h").select("place.*").groupBy("doc", "rank").agg(F.collect_list(F.struct("at", "first", "last")).alias("work"))
-    blocks = stored(numbered.join(work, ["doc", "rank"]).select("doc", "rank", "text", "work").mapInPandas(_block_rows(length, gram, block), "doc long, rank long, shared long, span long, at int, block int"), "blocks")
+    blocks = stored(numbered.join(work, ["doc", "rank"]).select("doc", "rank", "text", "work").mapInPandas(lean(_block_rows(length, gram, block)), "doc long, rank long, shared long, span long, at int, block int"), "blocks")
     discard(firsts, mixed)
 
     firsts = stored(blocks.groupBy("shared", "span").agg(first(*place, "block")), "firsts")
@@ -189,7 +190,7 @@ def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     mixed = several(firsts, "shared", "mixed")
     work = firsts.join(mixed, "shared").select("place.*").groupBy("doc", "rank").agg(F.collect_list(F.struct("at", "block")).alias("work"))
-    windows = stored(numbered.join(work, ["doc", "rank"]).select("doc", "rank", "text", "work").mapInPandas(_window_rows(length, gram, block), "doc long, rank long, h long, check long, start int"), "windows")
+    windows = stored(numbered.join(work, ["doc", "rank"]).select("doc", "rank", "text", "work").mapInPandas(lean(_window_rows(length, gram, block)), "doc long, rank long, h long, check long, start int"), "windows")
     discard(firsts, mixed)
     place = ["doc", "rank", "start"]
     firsts = stored(windows.groupBy("h", "check").agg(first(*place), F.count("*").alias("n")).where("n > 1").select("h", "check", "place"), "firsts")
@@ -239,7 +240,7 @@ def doubled_spans(numbered: DataFrame, length: int = LENGTH) -> DataFrame:
         discard(ranks)
         return out
 
-    now = reranked(numbered.mapInPandas(_start_rows, "doc long, rank long, at int, a long, b long"))
+    now = reranked(numbered.mapInPandas(lean(_start_rows), "doc long, rank long, at int, a long, b long"))
     covered = START
     while covered < length:
         step = min(covered, length - covered)
@@ -293,7 +294,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, doubling: bool = False)
     numbered = _numbered(docs)
     spans = doubled_spans(numbered, length) if doubling else repeated_spans(numbered, length)
     joined = numbered.join(spans, ["doc", "rank"], "left").select("doc", "text", "spans")
-    out = joined.mapInPandas(_finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.mapInPandas(lean(_finish), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     doc_id = F.when(F.col("doc") != F.lit(-(2**63)), F.col("doc"))
     return out.select(doc_id.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 

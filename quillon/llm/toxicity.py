@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.llm.lean import lean, released
 from quillon.llm.store import discard, stored
 
 #: Labelled rows of each class learned from, at most; terms in the lexicon at most; frequent words of clean rows looked at.
@@ -30,7 +31,7 @@ STEM, ONE, TWO, KNOWN = 3, 4, 9, 2
 #: Words before and after a hit that are its context.
 REACH = 6
 #: Words remembered by a task.
-MEMORY = 250_000
+MEMORY = 100_000
 _TOKEN = re.compile(r"\w+|[\"“”«»„‘’]")
 _QUOTES = frozenset("\"“”«»„‘’")
 #: Words that report what others say, and words that address someone: fixed lists.
@@ -255,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "x": [features(t, match) for t in batch["text"]]})
 
-    got = rows.mapInPandas(measure, "toxic int, x array<double>").toPandas()
+    got = rows.mapInPandas(lean(measure), "toxic int, x array<double>").toPandas()
     discard(rows)
     x, y = np.stack(got["x"].to_numpy()).astype(float), got["toxic"].to_numpy(float)
     # Rows in a fixed order, so that sums do not depend on that of the tasks.
@@ -278,6 +279,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             x = np.array([features(t, match) for t in texts], float).reshape(-1, len(FEATURES))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+        match = None
+        released()
 
     return docs.withColumn("tox_score", F.pandas_udf(rate, "double")("text"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words remembered by one task; the memory starts anew when it is full.
-MEMORY = 250_000
+MEMORY = 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
