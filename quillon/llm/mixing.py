@@ -8,6 +8,7 @@ source's blocks, one permutation for each pass over them, and meet the blocks by
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ from quillon.llm.store import discard, stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, slots in an output shard on average, documents in a bucket, buckets in a group.
 BLOCK, SHARD_SLOTS, BUCKET_DOCS, GROUP = 64, 1 << 15, 1000, 1000
+#: Slots that a task maps at a time.
+STRETCH = 1 << 16
 WEIGHTS, MOST, ROUNDS = (5.0, 2.0, 1.0), 3, 16
 #: What tells rows apart: id, source and text, with nulls made values.
 KEY = ("id", "no_id", "origin", "text_hash")
@@ -99,6 +102,35 @@ def salted(origin: Column, turn: Column, seed: int) -> Column:
     return digest(F.concat_ws(":", origin, turn.cast("string"), F.lit(str(seed))))
 
 
+def permuted_array(x: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """``permuted`` for many indices of one permutation."""
+    x = x.astype(np.int64)
+    for r in range(1, ROUNDS + 1):
+        a, b = (salt % PRIME * (FACTOR + r) + r * r) % PRIME + 1, ((salt >> 30) % PRIME * (FACTOR - r) + r) % PRIME
+        mirror = ((a * PRIME + b) % n - x) % n
+        larger = np.maximum(x, mirror)
+        bit = ((larger % PRIME * a % PRIME + (larger >> 31) * FACTOR % PRIME + b) % PRIME * FACTOR % PRIME >> 16) & 1
+        x = np.where(bit == 1, mirror, x)
+    return x
+
+
+def _expanded(block: int, seed: int):
+    """The slots of a shard's count, mapped to blocks; STRETCH slots at a time."""
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for origin, n_blocks, n_slots, kept, shard, begin, count in batch.itertuples(index=False, name=None):
+                for low in range(begin, begin + count, STRETCH):
+                    slot = np.arange(low, min(low + STRETCH, begin + count), dtype=np.int64)
+                    turn, to = slot // n_blocks, np.empty(len(slot), np.int64)
+                    for t in np.unique(turn).tolist():
+                        salt = int(hashlib.md5(f"{origin}:{t}:{seed}".encode()).hexdigest()[:15], 16)
+                        to[turn == t] = permuted_array(slot[turn == t] % n_blocks, n_blocks, salt)
+                    yield pd.DataFrame({"origin": origin, "slot": slot, "shard": shard, "block": to, "kept": np.where(slot == n_slots - 1, kept, block)})
+
+    return expand
+
+
 def blocks(sized: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
     """The pieces of documents that make up each source's blocks: (origin, block, KEY, begin, first, words).
 
@@ -175,11 +207,8 @@ def slots(goals: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     # A number of partitions, as what is few now is many once it is expanded.
     parts = int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = counts(goals, block, seed).repartition(parts, "origin", "shard")
-    each = dealt.withColumn("slot", F.explode(F.sequence(F.col("begin_slot"), F.col("begin_slot") + F.col("count") - 1)))
-    each = each.withColumn("salt", salted(F.col("origin"), F.floor(F.col("slot") / F.col("n_blocks")), seed))
-    mapped = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("salt"))
-    kept = F.when(F.col("slot") == F.col("n_slots") - 1, F.col("kept")).otherwise(F.lit(block))
-    return each.select("origin", "slot", "shard", mapped.alias("block"), kept.alias("kept"))
+    columns = ["origin", "n_blocks", "n_slots", "kept", "shard", "begin_slot", "count"]
+    return dealt.select(columns).mapInPandas(lean(_expanded(block, seed)), "origin string, slot long, shard long, block long, kept long")
 
 
 def _mix(sized: DataFrame, goals: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:

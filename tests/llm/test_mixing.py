@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.llm import mixing
@@ -56,6 +57,8 @@ def test_permutation(spark):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), mixing.digest(F.lit("k"))).alias("p"))
         got = [r.p for r in df.collect()]
         assert sorted(got) == list(range(n))
+        salt = spark.range(1).select(mixing.digest(F.lit("k")).alias("s")).first().s
+        assert mixing.permuted_array(np.arange(n), n, salt).tolist() == got
         # Neighbours part, and about half of all indices change sides.
         assert n < 64 or sum(abs(a - b) == 1 for a, b in zip(got, got[1:])) < n / 8
         assert n < 64 or 0.3 * n < sum((a < n // 2) != (b < n // 2) for a, b in enumerate(got)) < 0.7 * n
