@@ -275,7 +275,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary: str = VOCABULARY) ->
     for r in kept.select("lang", "word", "n").collect():
         counts.setdefault(r.lang, {})[r.word] = r.n
     discard(words)
-    return learn(counts, pieces(vocabulary))
+    model = learn(counts, pieces(vocabulary))
+    del counts
+    released()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

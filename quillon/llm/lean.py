@@ -1,4 +1,4 @@
-"""Python workers that give memory back when a task ends.
+"""Python that gives memory back when a task, or a step of the driver, ends.
 
 Workers are kept for later tasks, and beside them stands the executor's heap: what a task's
 arrays and dictionaries leave in the allocators would be missing there.
