@@ -50,15 +50,23 @@ def float_to_text(x: Column) -> Column:
         text = F.when((F.abs(x) < 1e-320) & (x != 0) & (short(n).cast("double") == x), shown(short(n))).otherwise(text)
     fewest = F.when(short(15).cast("double") == x, shown(short(15))).when(short(16).cast("double") == x, shown(short(16))).otherwise(shown(short(17)))
     text = F.when(long & (F.abs(x) < float("inf")), fewest).otherwise(text)
+    special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    # Most doubles have few digits and no exponent, and Java prints them in the fewest.
+    easy = ~F.contains(x.cast("string"), F.lit("E")) & (F.length(x.cast("string")) <= 16)
+    # The text is long as an expression and used often: a lambda's variable stands for it.
+    spelled = F.transform(F.array(text), _plain_digits)[0]
+    return special.when(easy, F.regexp_replace(x.cast("string"), r"\.0$", "")).otherwise(spelled)
+
+
+def _plain_digits(text: Column) -> Column:
+    """A number as Java prints it, without an exponent and without a fraction that is zero."""
     mantissa, exponent = F.split(text, "E")[0], F.split(text, "E")[1].cast("int")
     sign = F.when(text.startswith("-"), "-").otherwise("")
     digits = F.regexp_replace(mantissa, r"^-|\.|(?<=\.)0$", "")
     after = F.length(digits) - 1
     large = F.when(exponent >= after, F.concat(sign, digits, F.repeat(F.lit("0"), exponent - after))).otherwise(F.concat(sign, F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, after)))
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    plain = F.regexp_replace(text, r"\.0$", "")
-    special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-    return special.when(~F.contains(text, F.lit("E")), plain).when(exponent >= 0, large).otherwise(small)
+    return F.when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", "")).when(exponent >= 0, large).otherwise(small)
 
 
 def cast_column(c: Column, source: LType | None, to: LType) -> Column:
