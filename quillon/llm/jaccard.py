@@ -5,9 +5,9 @@ index: as many as guarantee that similar sets meet in a list. An entry knows its
 and its own position, which bound what two sets can still share, so that lists are skipped
 in blocks: an entry reads only those sizes that its position leaves possible.
 
-Lists are not searched pair by pair. A few centres of each list are compared with its other
-entries first; whoever links with a centre shares its component, and pairs within a
-component need no further answer. Entries outside a list's largest component are then
+Only short lists are searched pair by pair. A few centres of each longer list are compared
+with its other entries first; whoever links with a centre shares its component, and pairs
+within a component need no further answer. Entries outside a list's largest component are then
 matched with a bounded number of others at a time, until few pairs are left across
 components, and these are compared without exception. Distances to a list's first centre
 rule out pairs by the triangle inequality, so that a set's remaining comparisons follow
@@ -42,6 +42,8 @@ COUNTED, REPEATED, FREQUENT = 2_000_000, 3, 1 << 20
 CENTRES, PARTNERS, ROUNDS = 4, 32, 6
 #: Pairs for each entry of a list that the last step may compare without one more round.
 ENOUGH = 2
+#: Entries of a list whose pairs are all compared at once, at most.
+SHORT = 5
 #: Tokens of a set for each 64-bit word of its bitmap, at most; words of the smallest bitmap.
 DENSE, SMALLEST = 64, 8
 #: Blocks of sizes between two sizes of which the larger just links with the smaller.
@@ -290,16 +292,23 @@ class _Join:
         return self.near(n, m) & (F.least(n - at, m - at2) >= needed(n, m, self.percent))
 
     def centres(self) -> tuple[DataFrame, DataFrame]:
-        """Every list's centres, drawn by hash, and the pairs of its entries with them."""
+        """The centres of every list of more than SHORT entries, drawn by hash, and the pairs of its entries with them; all pairs of a shorter list.
+
+        Draws can meet in one entry, so a short list's centres may be too few to answer it.
+        """
+        short, long = self.lists.where(F.col("k") <= SHORT), self.lists.where(F.col("k") > SHORT)
         one = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), "id", "n", "at"))
-        drawn = stored(self.lists.groupBy("token").agg(F.array(*map(one, range(CENTRES))).alias("centres")), "centres")
-        met = self.lists.join(drawn, "token").withColumn("c", F.explode(F.array_distinct("centres")))
-        met = met.where((F.col("c.id") != F.col("id")) & self.fits(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at")))
-        return drawn, met.select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v")).distinct()
+        drawn = stored(long.groupBy("token").agg(F.array(*map(one, range(CENTRES))).alias("centres")), "centres")
+        met = long.join(drawn, "token").withColumn("c", F.explode(F.array_distinct("centres"))).select("id", "n", "at", "c.id", "c.n", "c.at")
+        each = short.groupBy("token").agg(F.collect_list(F.struct("id", "n", "at")).alias("all")).select("all", F.posexplode("all").alias("k", "e"))
+        each = each.withColumn("c", F.explode(F.slice("all", F.col("k") + 2, F.lit(SHORT)))).select("e.id", "e.n", "e.at", "c.id", "c.n", "c.at")
+        pairs = met.union(each).toDF("id", "n", "at", "id2", "n2", "at2")
+        pairs = pairs.where((F.col("id") != F.col("id2")) & self.fits(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
+        return drawn, pairs.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct()
 
     def measured(self, drawn: DataFrame) -> DataFrame:
-        """Entries of the lists that their centres do not answer wholly, with bounds of the distance to the first centre where they are known."""
-        entries = self.lists.where(F.col("k") > CENTRES + 1).join(drawn.select("token", F.col("centres")[0]["id"].alias("c")), "token")
+        """Entries of the lists of more than SHORT entries, with bounds of the distance to the first centre where they are known."""
+        entries = self.lists.where(F.col("k") > SHORT).join(drawn.select("token", F.col("centres")[0]["id"].alias("c")), "token")
         entries = entries.withColumns({"u": F.least("id", "c"), "v": F.greatest("id", "c")})
         known = entries.join(self.answers.select("u", "v", "low", "high"), ["u", "v"], "left")
         bound = lambda c: F.when(F.col("u") == F.col("v"), 0.0).otherwise(F.col(c)).alias(c)

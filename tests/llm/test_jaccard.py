@@ -52,6 +52,17 @@ def test_against_all_pairs(spark, k, percent):
     assert got == brute(rows, k, percent)
 
 
+def test_a_link_beside_a_larger_set(spark):
+    # All rare words of two linked sets are also in a third, which links with neither: whichever a list's centres are, the two must meet.
+    rows = []
+    for g in range(300):
+        shared = [f"s{g}x{i}" for i in range(18)]
+        rows += [(3 * g, " ".join([*shared, *"abcdef"])), (3 * g + 1, " ".join([*shared, "y"])), (3 * g + 2, " ".join([*shared, "z"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, 1).collect()}
+    assert got == {i: i - i % 3 + (i % 3 > 0) for i in range(900)}
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (3, "x y"), (None, "q")], "doc_id long, text string")
