@@ -22,8 +22,7 @@ SURE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without letters or without a language that is likelier than all others; no rows give no rows."""
-    found = langid.identify(docs.select(*COLUMNS), langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= SURE)).select(*COLUMNS)
+    return langid.identified(docs.select(*COLUMNS), langid.fit(docs), SURE).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ VOCABULARY, SAMPLE, ROUNDS = "/opt/tokenizers/piece_bpe_32k.model", 300, 4
 LEARNED, LEARNED_EACH, LEARNED_LETTERS = 500_000, 2_000, 32
 #: Sampled texts up to which their keys are broadcast (8 bytes each); beyond, they meet by a shuffle.
 FEW_SAMPLED = 1 << 17
+#: Texts that are left out up to which their digests are broadcast (32 bytes each); beyond, they meet by a shuffle.
+FEW_LEFT_OUT = 1 << 17
 #: Words of up to so many letters are scored many at a time, longer ones one by one; letters of these whose pieces are found at a time.
 SHORT, STRETCH = 40, 1 << 14
 #: Below TINY a sum is multiplied by 1 / TINY, and the factor remembered.
@@ -326,6 +328,26 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return found.select(*rest, F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("score"))
 
 
+def identified(docs: DataFrame, model: Model, sure: float) -> DataFrame:
+    """The rows of ``docs`` whose language ``identify`` predicts with a score of ``sure`` at least; other columns pass through.
+
+    Python is given texts alone, while the digests of those to leave out are written as a
+    table, so that its workers hold few rows at a time whatever the session's settings.
+    Null texts and those without letters are left out. No rows: no rows.
+    """
+    texts = docs.where(F.col("text").isNotNull())
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    kept = (F.col("lang_pred") != UNDECIDED) & (F.col("score") >= sure)
+    gone = stored(identify(texts.select("text"), model).where(~kept).select(digest.alias("digest")).distinct(), "unsure")
+    n = gone.count()
+    if not n:
+        discard(gone)
+        return texts
+    (key,) = fresh(docs, "digest")
+    named = gone.select(F.col("digest").alias(key))
+    return texts.withColumn(key, digest).join(F.broadcast(named) if n <= FEW_LEFT_OUT else named, key, "left_anti").drop(key)
+
+
 def langid_digest(docs: DataFrame) -> DataFrame:
     """One row per document: held_out, the predicted language and its score."""
     found = identify(docs.select("doc_id", "text"), fit(docs))

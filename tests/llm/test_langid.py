@@ -101,3 +101,20 @@ def test_very_long_texts(spark):
     more = spark.createDataFrame([(100, "the cat " * 100_000), (101, "derhundunddiekatze" * 3_000), (102, " " * 100_000)], "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in langid.identify(more, langid.fit(docs)).collect()}
     assert got == {100: "en", 101: "de", 102: "und"}
+
+
+def test_rows_left_out_by_text(spark, monkeypatch):
+    say = {"en": "the river and the people of that house", "de": "der fluss und die leute von dem haus"}
+    rows = [(i, f"{say[lang]} {i}", lang, 7) for i, lang in enumerate(["en", "de"] * 20)]
+    rows += [(None, say["en"], "en", 7), (3, None, "en", 7), (None, None, None, 7), (50, "", "en", 7), (51, "12 !", "de", 7), (51, "12 !", "de", 7), (None, "12 !", "de", 7), (52, "z", "en", 7), (52, "z", "en", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Digest int")
+    model = langid.fit(docs)
+    key = lambda r: (r.doc_id, r.text, r.lang, r.Digest)
+    for sure in (0.5, 0.99, 1.1):
+        found = langid.identify(docs, model).collect()
+        want = sorted((key(r) for r in found if r.lang_pred != langid.UNDECIDED and r.score >= sure), key=str)
+        for few in (1 << 17, 0):
+            monkeypatch.setattr(langid, "FEW_LEFT_OUT", few)
+            got = langid.identified(docs, model, sure)
+            assert got.columns == docs.columns and sorted(map(key, got.collect()), key=str) == want
+    assert langid.identified(docs.where("false"), model, 0.5).count() == 0

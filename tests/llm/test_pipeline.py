@@ -50,6 +50,14 @@ def test_nulls_repeats_and_other_columns(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_languages_are_found_in_few_rows_at_a_time(spark):
+    # Who writes the stage's result sets no size of Python's batches: none may be left to run then.
+    rows = [(i, "the river and the people" if i % 9 else "12", "en", "a", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.identify_language(spark, docs, "")
+    assert "EvalPython" not in got._jdf.queryExecution().toString() and {r.doc_id for r in got.collect()} == {i for i in range(60) if i % 9}
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
